@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation: linked documents meet in a shard, row counts at most one apart.
 
 Links are hubs: documents with equal texts hang on one, or on several if they would fill a
-large part of a shard.  Every round joins the documents with the shard that most of their hub
-is in and moves them there, whole hubs at a time, as far as the shard's quota allows.  A last
+large part of a shard.  The first round joins the documents with the shard that most of their
+hub is in and moves them there, whole hubs at a time, as far as the shard's quota allows;
+later rounds offer hubs that found no room another shard of one of their documents.  A last
 step evens the counts exactly: rows in surplus, unlinked ones first, fill the gaps.
 """
 
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from stratacloud.llm._common import cut, drop_cut, text_or_empty
 
 SHARDS = 40
-ROUNDS = 3
-#: Ranks and quotas are dealt within so many buckets of a shard, so no task has to hold a shard.
-BUCKETS = 32
+ROUNDS = 4
+#: Ranks and quotas are dealt within at most so many buckets of a shard, each of at least so
+#: many rows, so no task has to hold a shard.
+BUCKETS, BUCKET_ROWS = 32, 1000
 #: A hub holds at most this part of an even shard.
 HUB_PART = 0.25
 
@@ -35,37 +37,38 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     """
     total = rows.count()
     even = max(1.0, total / shards)
+    buckets = max(1, min(BUCKETS, int(even) // BUCKET_ROWS))
     sizes = rows.where("link is not null").groupBy("link").agg(F.count("*").alias("_n")).where("_n > 1")
     parts = F.ceil(F.col("_n") / F.greatest(F.lit(2.0), F.lit(even * HUB_PART))).cast("long")
     hub = F.when(F.col("_n").isNotNull(), F.xxhash64("link", F.pmod(F.xxhash64("doc_id"), parts)))
     first = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).cast("int")
     current = cut(rows.join(sizes, "link", "left").withColumn("hub", hub).withColumn("shard", first).drop("_n"), "labels")
-    for _ in range(rounds):
-        following = cut(_propagate(current, even), "labels")
+    for turn in range(rounds):
+        following = cut(_propagate(current, even, buckets, turn), "labels")
         drop_cut(current)
         current = following
-    return _even_out(current, total, shards)
+    return _even_out(current, total, shards, buckets)
 
 
-def _propagate(current: DataFrame, even: float) -> DataFrame:
+def _propagate(current: DataFrame, even: float, buckets: int, turn: int) -> DataFrame:
     held = current.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
-    held = held.withColumn("order", F.struct("n", F.xxhash64("hub", "shard")))
+    held = held.withColumn("order", F.struct(F.col("n") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "hub", "shard")))
     liked = held.groupBy("hub").agg(F.max_by("shard", "order").alias("goal"), (F.sum("n") - F.max_by("n", "order")).alias("movers")).where("movers > 0")
     movers = held.join(liked, "hub").where("shard <> goal")
     leaving = movers.groupBy("shard").agg(F.sum("n").alias("leaving"))
     quota = current.groupBy("shard").agg(F.count("*").alias("here")).join(leaving, "shard", "left")
     room = F.greatest(F.lit(0.0), F.lit(even * 1.05) - F.col("here") + F.coalesce("leaving", F.lit(0)))
     quota = quota.select(F.col("shard").alias("goal"), room.alias("room"))
-    bucket = Window.partitionBy("goal", F.pmod(F.xxhash64("hub"), F.lit(BUCKETS))).orderBy(F.xxhash64(F.lit("turn"), "hub"), "hub")
+    bucket = Window.partitionBy("goal", F.pmod(F.xxhash64("hub"), F.lit(buckets))).orderBy(F.xxhash64(F.lit("turn"), "hub"), "hub")
     accepted = liked.withColumn("sum", F.sum("movers").over(bucket)).join(quota, "goal", "left")
-    accepted = accepted.where(F.col("sum") <= F.ceil(F.coalesce("room", F.lit(even)) / BUCKETS)).select("hub", "goal")
+    accepted = accepted.where(F.col("sum") <= F.ceil(F.coalesce("room", F.lit(even)) / buckets)).select("hub", "goal")
     moved = current.join(accepted, "hub", "left")
     return moved.withColumn("shard", F.coalesce("goal", "shard")).select(*current.columns)
 
 
-def _even_out(current: DataFrame, total: int, shards: int) -> DataFrame:
+def _even_out(current: DataFrame, total: int, shards: int, buckets: int) -> DataFrame:
     linked = F.col("hub").isNotNull()
-    bucket = F.when(linked, F.pmod(F.col("hub"), F.lit(BUCKETS))).otherwise(BUCKETS + F.pmod(F.xxhash64("doc_id", "link"), F.lit(BUCKETS))).cast("int")
+    bucket = F.when(linked, F.pmod(F.col("hub"), F.lit(buckets))).otherwise(buckets + F.pmod(F.xxhash64("doc_id", "link"), F.lit(buckets))).cast("int")
     dealt = current.withColumn("bucket", bucket)
     counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -83,7 +83,7 @@ def segments(page_id: int | None, url: str | None, html: str | None, record_type
         kind = record_type if number == 1 else "continuation"
         head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record}{'' if number == 1 else f'-{number}'}>", f"WARC-Date: {DATE}"]
         if number == 1:
-            head += [f"WARC-Target-URI: {_line(url)}"] * (url is not None) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
+            head += [f"WARC-Target-URI: {_line(url or '')}"] * (url is not None) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
             head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
             if record_type == "revisit":
                 head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
