@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from stratacloud import oracle
+from stratacloud import queries as q
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in q.ALL}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracle.statements()
