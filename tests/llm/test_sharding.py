@@ -19,7 +19,8 @@ def test_even_gapless_and_linked(spark):
         at[texts[r.doc_id]].add(r.shard)
     triples = [len(v) for k, v in at.items() if k and k.startswith("t")]
     assert sum(n == 1 for n in triples) > 0.9 * len(triples)
-    assert len(at["hot"]) < 40
+    hot = Counter(r.shard for r in rows if texts[r.doc_id] == "hot")
+    assert max(hot.values()) >= 19  # a hub holds a quarter of an even shard
     again = shard_documents(df.repartition(5)).collect()
     assert sorted((r.doc_id, r.shard) for r in again) == sorted((r.doc_id, r.shard) for r in rows)
 
