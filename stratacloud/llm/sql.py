@@ -1,6 +1,46 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+
+def _hex(text: str) -> str:
+    """The number that the first eight hex digits of an MD5 write."""
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+
+
+def _seats(name: str, parties: str, key: str, weight: str, seats: str, order: str, own: str, out: str) -> str:
+    """Tables <name>: the rows of `parties` with the seats of highest quotients, `seats` for each key."""
+    return f"""
+        {name}_f AS (SELECT *, coalesce({weight} / nullif(sum({weight}) OVER (PARTITION BY {key}), 0), 0) AS f_, count(*) OVER (PARTITION BY {key}) / CAST(2 AS DOUBLE) AS half_ FROM {parties}),
+        {name}_r AS (SELECT *, CAST(greatest(0, floor(f_ * ({seats} - half_) - 1)) AS BIGINT) AS low_, CASE WHEN f_ > 0 THEN CAST(ceil(f_ * ({seats} + half_) + 1) AS BIGINT) ELSE 0 END AS high_ FROM {name}_f),
+        {name}_o AS (SELECT *, {seats} - sum(low_) OVER (PARTITION BY {key}) AS open_ FROM {name}_r),
+        {name}_s AS (SELECT *, unnest(range(low_, high_)) AS seat_ FROM {name}_o),
+        {name}_k AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {weight} / (2 * seat_ + 1) DESC, {order}) AS rank_ FROM {name}_s),
+        {name}_c AS (SELECT {own}, count(*) AS more_ FROM {name}_k WHERE rank_ <= open_ GROUP BY ALL),
+        {name} AS (SELECT o.*, low_ + coalesce(more_, 0) AS {out} FROM {name}_o o LEFT JOIN {name}_c c USING ({own}))"""
+
+
+MIXING = rf"""
+    WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, '17:' || coalesce(CAST(doc_id AS VARCHAR), '') AS ticket FROM documents),
+        t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s GROUP BY source),
+        w AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS weight FROM t),
+        l AS (SELECT *, CAST(CAST(sum(source_size) OVER () AS BIGINT) - coalesce(sum(3 * source_size) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                        / sum(weight) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        g AS (SELECT source, place, source_size, docs, least(CAST(3 * source_size AS DOUBLE), weight * max(level) OVER ()) AS target, CAST(round(CAST(sum(source_size) OVER () AS DOUBLE) / 4) AS BIGINT) AS blocks, 1 AS every FROM l),
+        {_seats("a", "g", "every", "target", "blocks", "place", "place", "quota")},
+        p AS (SELECT s.doc_id, s.size, s.ticket, a.place, a.source_size, a.target, a.quota, {_hex("s.ticket")} % least(256, CAST(ceil(a.docs / CAST(64 AS DOUBLE)) AS BIGINT)) AS shard FROM s JOIN a ON s.source IS NOT DISTINCT FROM a.source),
+        h AS (SELECT place, shard, quota, CAST(sum(size) AS DOUBLE) AS words FROM p GROUP BY ALL),
+        {_seats("b", "h", "place", "words", "quota", "shard", "place, shard", "seats")},
+        n AS (SELECT place, shard, CAST(words AS BIGINT) AS words, seats, greatest(1, CAST(round(words / 4) AS BIGINT)) AS n FROM b),
+        q AS (SELECT *, least(seats, 3 * n) // n AS passes, least(seats, 3 * n) % n AS run, {_hex("'17:' || place || ':' || shard")} % n AS start FROM n),
+        e AS (SELECT place, shard, passes, start * (words // n) + least(start, words % n) AS from_word, least(start + run, n) * (words // n) + least(least(start + run, n), words % n) AS to_word,
+                     greatest(start + run - n, 0) * (words // n) + least(greatest(start + run - n, 0), words % n) AS wrap_word FROM q),
+        d AS (SELECT *, coalesce(CAST(sum(size) OVER (PARTITION BY place, shard ORDER BY md5(ticket), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS pos FROM p)
+    SELECT doc_id, size, source_size, target,
+           CAST(passes * size + greatest(0, least(pos + size, to_word) - greatest(pos, from_word)) + greatest(0, least(pos + size, wrap_word) - pos) AS BIGINT) AS taken
+    FROM d JOIN e USING (place, shard)
+"""
+
 ORACLES = {
+    "op1_mixing": MIXING,
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
              g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
