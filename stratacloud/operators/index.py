@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacloud.lineage import materialized
+
 KEY = ["level", "x", "y", "z"]
 PAGE_STEP = 3
 ENTRY_BYTES = 32
@@ -41,7 +43,8 @@ def running_offsets(rows: DataFrame, size: str, order: list[str], start: int, ra
     Ranges of the order are summed apart and only one number for each range goes through a
     single task, so no task sees all rows.
     """
-    ranged = rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    # written once: both uses below must see the same ranges, also after a lost executor
+    ranged = materialized(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranged.groupBy("_range").agg(F.sum(size).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
