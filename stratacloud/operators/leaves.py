@@ -8,13 +8,26 @@ from pyspark.sql import functions as F
 from stratacloud.frame import Frame
 from stratacloud.functions.keys import ancestor, point_key
 from stratacloud.functions.sizing import MAX_LEAF_POINTS
+from stratacloud.lineage import materialized
 from stratacloud.operators.counting import KEY, grid_counts, level_totals, world
 
 DEPTH_CAP = 20
-#: Points are counted at this depth first; only cells still too full are counted deeper, by STEP levels.
+#: Points are counted first at a depth of at most FIRST_DEPTH; cells still too full are counted STEP levels deeper.
 FIRST_DEPTH, STEP = 8, 3
 
 
+def count_depths(total: int, max_leaf: int, cap: int) -> list[int]:
+    """Depths at which points are counted, one after the other as far as needed.
+
+    The first is a level below where points spread over a surface would fill their leaves.
+    """
+    first = 1
+    while 4 ** (first - 1) * max_leaf < total and first < FIRST_DEPTH:
+        first += 1
+    first = min(first, cap)
+    return [*range(first, cap, STEP), cap]
+
+
 def _leaf_levels(cells: DataFrame, depth: int, max_leaf: int) -> DataFrame:
     """x, y, z, n, leaf_level: one more than the number of too full ancestors, counted over finest cells.
 
@@ -33,23 +46,23 @@ def _leaf_levels(cells: DataFrame, depth: int, max_leaf: int) -> DataFrame:
 def leaf_cells(points: DataFrame, frame: Frame, max_leaf: int = MAX_LEAF_POINTS, cap: int = DEPTH_CAP) -> DataFrame:
     """depth, x, y, z, n, leaf_level: cells at `depth` and the level of the leaf that holds them.
 
-    The first pass counts at FIRST_DEPTH, at most 8**8 cells however many points there are.
-    Cells still too full go on with only their own points, a few levels at a time.
+    The first pass counts at most 8**8 cells however many points there are.  Cells still too
+    full go on with only their own points, a few levels at a time.
     """
-    depth, out, rest = min(cap, FIRST_DEPTH), None, points
-    while True:
-        cells = _leaf_levels(grid_counts(rest, frame, depth), depth, max_leaf)
+    out, rest = None, points
+    for depth in count_depths(points.count(), max_leaf, cap):
+        cells = materialized(_leaf_levels(grid_counts(rest, frame, depth), depth, max_leaf), "cells")
         open_ = cells.where((F.col("leaf_level") == depth) & (F.col("n") > max_leaf)) if depth < cap else None
         more = open_ is not None and not open_.isEmpty()
         done = cells.join(open_.select("x", "y", "z"), ["x", "y", "z"], "left_anti") if more else cells
         done = done.select(F.lit(depth).alias("depth"), "x", "y", "z", "n", "leaf_level")
         out = done if out is None else out.unionByName(done)
         if not more:
-            return out
+            break
         keys = [k.alias(f"_{a}") for a, k in zip("xyz", point_key(frame, depth, world()))]
         hot = open_.select(*[F.col(a).alias(f"_{a}") for a in "xyz"])
         rest = rest.select("*", *keys).join(hot, ["_x", "_y", "_z"], "left_semi").select(*points.columns)
-        depth = min(cap, depth + STEP)
+    return out
 
 
 def leaf_nodes(cells: DataFrame) -> DataFrame:
@@ -66,9 +79,7 @@ def assign_leaves(points: DataFrame, frame: Frame, max_leaf: int = MAX_LEAF_POIN
     """
     cells = leaf_cells(points, frame, max_leaf, cap)
     out = None
-    for depth in sorted({min(cap, FIRST_DEPTH), *range(min(cap, FIRST_DEPTH), cap, STEP), cap}):
-        if depth > FIRST_DEPTH and cells.where(F.col("depth") == depth).isEmpty():
-            break
+    for depth in sorted(r["depth"] for r in cells.select("depth").distinct().collect()) or [cap]:
         own = cells.where(F.col("depth") == depth).select(*[F.col(a).alias(f"_{a}") for a in "xyz"], F.col("leaf_level").alias("level"))
         keyed = points.select("*", *[k.alias(f"_{a}") for a, k in zip("xyz", point_key(frame, depth, world()))])
         up = [ancestor(F.col(f"_{a}"), F.lit(depth), F.col("level")).alias(f"k{a}") for a in "xyz"]
