@@ -115,7 +115,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The rows of docs as the mix takes them, each as often as it is taken whole.
 
     A document of which a part is taken stays whole with the chance of that part, decided
-    by a seeded hash of its id; documents never taken go.  Rows that share a doc_id are taken
+    by a seeded hash of its id; documents never taken go, and so do rows without id.  Rows that share a doc_id are taken
     alike.  Columns are those of docs.
     """
     taken = mix(docs, seed=seed, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("taken") / F.greatest("size", F.lit(1))).alias("_times"))

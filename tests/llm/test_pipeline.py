@@ -13,3 +13,15 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert out.count() == counts[-1]
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    rows = [(1, None, "en", "a", 7, 0), (2, "", None, None, 7, 0), (2, "", None, None, 7, 0), (None, "one two three", "en", "a", 7, 0), (3, "one two three", "en", None, 7, 0)]
+    rows += [(9, "w " * 60_000, "en", "b", 7, 0), (10, "Plain words of some text that goes on for a while, and then ends.", "en", "b", 7, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size int, kept int")
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, some, sf_dir)
+            assert name == "bpe encoding" or out.columns == docs.columns
+            assert out.count() <= 3 * some.count()
+    assert corpus_pipeline.STAGES[1][1](spark, docs, sf_dir).where("doc_id = 9").count() == 1
