@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,9 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
     chosen = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = chosen.join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))), "doc_id")
     learnt = chosen.select("doc_id", "label", "text").mapInArrow(indicators, "doc_id long, label int, columns array<int>").toArrow()
-    order = np.lexsort((np.array([len(x) for x in learnt.column("columns").to_pylist()]), learnt.column("doc_id").to_numpy())) if learnt.num_rows else []
-    found = learnt.column("columns").combine_chunks() if learnt.num_rows else None
-    return fit_rows([found[int(i)].values.to_numpy().astype(np.int64) for i in order], learnt.column("label").to_numpy()[order] if learnt.num_rows else np.zeros(0, np.int64))
+    if not learnt.num_rows:
+        return fit_rows([], np.zeros(0, np.int64))
+    found = learnt.column("columns").combine_chunks()
+    order = np.lexsort((pc.list_value_length(found).to_numpy(zero_copy_only=False), learnt.column("doc_id").to_numpy()))
+    return fit_rows([found[int(i)].values.to_numpy().astype(np.int64) for i in order], learnt.column("label").to_numpy()[order])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -219,12 +222,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scores(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Indicators()
-        import pandas as pd
-
-        return pd.Series([held.value.score(x) for x in found.of(pa.array(texts, pa.string(), from_pandas=True))], dtype="float64")
+        for batch in batches:
+            yield batch.filter(pa.array([held.value.score(x) >= threshold for x in found.of(batch.column(text))], pa.bool_()))
 
-    return docs.where(scores("text") >= threshold)
+    return docs.mapInArrow(run, docs.schema)
