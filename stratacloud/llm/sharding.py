@@ -56,10 +56,11 @@ def _propagate(current: DataFrame, even: float, buckets: int, turn: int) -> Data
     liked = held.groupBy("hub").agg(F.max_by("shard", "order").alias("goal"), (F.sum("n") - F.max_by("n", "order")).alias("movers")).where("movers > 0")
     movers = held.join(liked, "hub").where("shard <> goal")
     leaving = movers.groupBy("shard").agg(F.sum("n").alias("leaving"))
-    quota = current.groupBy("shard").agg(F.count("*").alias("here")).join(leaving, "shard", "left")
-    room = F.greatest(F.lit(0.0), F.lit(even * 1.05) - F.col("here") + F.coalesce("leaving", F.lit(0)))
+    # only linked rows count: the last step fills shards up with unlinked ones
+    quota = current.where("hub is not null").groupBy("shard").agg(F.count("*").alias("here")).join(leaving, "shard", "left")
+    room = F.greatest(F.lit(0.0), F.lit(even) - F.col("here") + F.coalesce("leaving", F.lit(0)))
     quota = quota.select(F.col("shard").alias("goal"), room.alias("room"))
-    bucket = Window.partitionBy("goal", F.pmod(F.xxhash64("hub"), F.lit(buckets))).orderBy(F.xxhash64(F.lit("turn"), "hub"), "hub")
+    bucket = Window.partitionBy("goal", F.pmod(F.xxhash64("hub"), F.lit(buckets))).orderBy(F.desc("movers"), F.xxhash64(F.lit("turn"), "hub"), "hub")
     accepted = liked.withColumn("sum", F.sum("movers").over(bucket)).join(quota, "goal", "left")
     accepted = accepted.where(F.col("sum") <= F.ceil(F.coalesce("room", F.lit(even)) / buckets)).select("hub", "goal")
     moved = current.join(accepted, "hub", "left")
