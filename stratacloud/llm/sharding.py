@@ -1,10 +1,12 @@
 """Sharding by balanced label propagation: linked documents meet in a shard, row counts at most one apart.
 
-Links are hubs: documents with equal texts hang on one, or on several if they would fill a
-large part of a shard.  The first round joins the documents with the shard that most of their
-hub is in and moves them there, whole hubs at a time, as far as the shard's quota allows;
-later rounds offer hubs that found no room another shard of one of their documents.  A last
-step evens the counts exactly: rows in surplus, unlinked ones first, fill the gaps.
+Links are hubs: documents with equal texts hang on one.  Hubs of more than a bucket of a shard,
+a bounded list, are seated on the driver, the largest first, each whole in the fullest shard that
+holds it; only a hub that no shard can hold is split, into as few shards as have room.  The
+others join the shard that most of their documents are in, as far as the room of the whole
+shard allows; hubs that found none are offered a shard that can hold them, until none moves.
+Those left, again a bounded list, are split as above.  A last step evens the counts exactly:
+rows in surplus, unlinked ones first and whole hubs never, fill the gaps.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 from stratacloud.llm._common import cut, drop_cut, text_or_empty
 
 SHARDS = 40
+#: Turns for which hubs are offered a shard before the first look at whether any still moves.
 ROUNDS = 4
 #: Ranks and quotas are dealt within at most so many buckets of a shard, each of at least so
 #: many rows, so no task has to hold a shard.
 BUCKETS, BUCKET_ROWS = 32, 1000
-#: A hub holds at most this part of an even shard.
-HUB_PART = 0.25
+#: Parts by which the rows of a split hub are dealt to its pieces.
+PARTS = 10**9
 
 
 def text_size(text: str | Column = "text") -> Column:
@@ -36,40 +39,91 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     shards are empty.  Reruns give the same shards.
     """
     total = rows.count()
-    even = max(1.0, total / shards)
-    buckets = max(1, min(BUCKETS, int(even) // BUCKET_ROWS))
-    sizes = rows.where("link is not null").groupBy("link").agg(F.count("*").alias("_n")).where("_n > 1")
-    parts = F.ceil(F.col("_n") / F.greatest(F.lit(2.0), F.lit(even * HUB_PART))).cast("long")
-    hub = F.when(F.col("_n").isNotNull(), F.xxhash64("link", F.pmod(F.xxhash64("doc_id"), parts)))
+    even = max(1, total // shards)
+    buckets = max(1, min(BUCKETS, even // BUCKET_ROWS))
     first = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).cast("int")
-    current = cut(rows.join(sizes, "link", "left").withColumn("hub", hub).withColumn("shard", first).drop("_n"), "labels")
-    for turn in range(rounds):
-        following = cut(_propagate(current, even, buckets, turn), "labels")
-        drop_cut(current)
-        current = following
+    hashed = rows.withColumn("shard", first)
+    held = hashed.where("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n"))
+    most = F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("goal")
+    hubs = cut(held.groupBy("link").agg(F.sum("n").alias("n"), most).where("n > 1"), "hubs")
+    free = [even] * shards
+    large = F.col("n") * BUCKETS > even  # at most shards * BUCKETS of them, and as many rows on the driver
+    pieces = _seat(hubs.where(large).select("link", "n").collect(), free)
+    seated, waiting = [], hubs.where(~large)
+    turn = 0
+    while True:
+        accepted = cut(_accept(waiting, free, buckets, turn), "accepted")
+        taken = {r["goal"]: r["n"] for r in accepted.groupBy("goal").agg(F.sum("n").alias("n")).collect()}  # a number for each shard
+        free = [f - taken.get(s, 0) for s, f in enumerate(free)]
+        seated.append(accepted)
+        waiting = cut(waiting.join(accepted, "link", "left_anti"), "waiting")
+        turn += 1
+        if waiting.isEmpty() or (turn >= rounds and not taken):
+            break
+    # no shard can hold the smallest of those left, so with the free rows they are fewer than two for each shard
+    pieces += _seat(waiting.select("link", "n").collect(), free)
+    current = cut(_placed(hashed, seated, pieces), "labels")
+    drop_cut(hubs, *seated, waiting)
     return _even_out(current, total, shards, buckets)
 
 
-def _propagate(current: DataFrame, even: float, buckets: int, turn: int) -> DataFrame:
-    held = current.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
-    held = held.withColumn("order", F.struct(F.col("n") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "hub", "shard")))
-    liked = held.groupBy("hub").agg(F.max_by("shard", "order").alias("goal"), (F.sum("n") - F.max_by("n", "order")).alias("movers")).where("movers > 0")
-    movers = held.join(liked, "hub").where("shard <> goal")
-    leaving = movers.groupBy("shard").agg(F.sum("n").alias("leaving"))
-    # only linked rows count: the last step fills shards up with unlinked ones
-    quota = current.where("hub is not null").groupBy("shard").agg(F.count("*").alias("here")).join(leaving, "shard", "left")
-    room = F.greatest(F.lit(0.0), F.lit(even) - F.col("here") + F.coalesce("leaving", F.lit(0)))
-    quota = quota.select(F.col("shard").alias("goal"), room.alias("room"))
-    bucket = Window.partitionBy("goal", F.pmod(F.xxhash64("hub"), F.lit(buckets))).orderBy(F.desc("movers"), F.xxhash64(F.lit("turn"), "hub"), "hub")
-    accepted = liked.withColumn("sum", F.sum("movers").over(bucket)).join(quota, "goal", "left")
-    accepted = accepted.where(F.col("sum") <= F.ceil(F.coalesce("room", F.lit(even)) / buckets)).select("hub", "goal")
-    moved = current.join(accepted, "hub", "left")
-    return moved.withColumn("shard", F.coalesce("goal", "shard")).select(*current.columns)
+def _seat(hubs: list, free: list[int]) -> list[tuple]:
+    """(link, upto, shard, whole) of each piece, upto in thousand-millionths of the hub; takes the rows from free."""
+    out = []
+    for link, n in sorted(((h["link"], h["n"]) for h in hubs), key=lambda h: (-h[1], str(h[0]))):
+        fits = [s for s, f in enumerate(free) if f >= n]
+        if fits:
+            at = min(fits, key=lambda s: (free[s], s))
+            free[at] -= n
+            out.append((link, PARTS, at, True))
+            continue
+        done = 0
+        while done < n and max(free) > 0:
+            at = max(range(len(free)), key=lambda s: (free[s], -s))
+            part = min(n - done, free[at])
+            free[at] -= part
+            done += part
+            out.append((link, done * PARTS // n, at, False))
+    return out
+
+
+def _accept(waiting: DataFrame, free: list[int], buckets: int, turn: int) -> DataFrame:
+    """link, n, goal of the hubs that a shard takes: running sums within buckets, then over the buckets of a shard."""
+    room = F.array(*[F.lit(f).cast("long") for f in free])
+    able = F.filter(F.transform(room, lambda f, s: F.when(f >= F.col("n"), s)), lambda s: s.isNotNull())
+    other = F.try_element_at(able, (F.pmod(F.xxhash64(F.lit(turn), "link"), F.greatest(F.lit(1), F.size(able))) + 1).cast("int"))
+    wanted = waiting.withColumn("goal", F.col("goal") if turn == 0 else other).where("goal is not null")
+    wanted = wanted.withColumn("room", F.element_at(room, F.col("goal") + 1)).where("n <= room")
+    wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("link"), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy("goal").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = wanted.groupBy("goal", "bucket").agg(F.sum("n").alias("_n")).select("goal", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("goal", "bucket").orderBy(F.desc("n"), "link").rowsBetween(Window.unboundedPreceding, 0)
+    summed = wanted.withColumn("sum", F.sum("n").over(within)).join(F.broadcast(offsets), ["goal", "bucket"])
+    return summed.where(F.col("offset") + F.col("sum") <= F.col("room")).select("link", "n", "goal")
+
+
+def _placed(hashed: DataFrame, seated: list[DataFrame], pieces: list[tuple]) -> DataFrame:
+    """hashed with the shards of the hubs, and keep: 0 for rows of whole hubs, 1 of split ones, 2 for unlinked rows."""
+    spark = hashed.sparkSession
+    kind = hashed.schema["link"].dataType.simpleString()
+    split = spark.createDataFrame(pieces, f"link {kind}, upto long, at int, whole boolean")
+    split = split.groupBy("link").agg(F.array_sort(F.collect_list(F.struct("upto", "at"))).alias("pieces"), F.bool_and("whole").alias("whole"))
+    small = seated[0]
+    for more in seated[1:]:
+        small = small.unionByName(more)
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS))
+    piece = F.try_element_at(F.filter("pieces", lambda p: p["upto"] > part), F.lit(1))["at"]
+    marked = hashed.join(F.broadcast(split), "link", "left")
+    # rows that look for no small hub are spread by their id
+    own = F.col("pieces").isNull() & F.col("link").isNotNull()
+    marked = marked.withColumn("_link", F.when(own, F.col("link"))).withColumn("_key", F.when(own, F.xxhash64("link")).otherwise(F.xxhash64("doc_id")))
+    marked = marked.join(small.select(F.col("link").alias("_link"), F.xxhash64("link").alias("_key"), "goal"), ["_key", "_link"], "left")
+    keep = F.when(F.col("goal").isNotNull() | F.col("whole"), 0).when(F.col("whole").isNotNull(), 1).otherwise(2)
+    return marked.withColumn("keep", keep).withColumn("shard", F.coalesce("goal", piece, "shard").cast("int")).select(*hashed.columns, "keep")
 
 
 def _even_out(current: DataFrame, total: int, shards: int, buckets: int) -> DataFrame:
-    linked = F.col("hub").isNotNull()
-    bucket = F.when(linked, F.pmod(F.col("hub"), F.lit(buckets))).otherwise(buckets + F.pmod(F.xxhash64("doc_id", "link"), F.lit(buckets))).cast("int")
+    bucket = (F.col("keep") * buckets + F.pmod(F.xxhash64("doc_id", "link"), F.lit(buckets))).cast("int")
     dealt = current.withColumn("bucket", bucket)
     counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

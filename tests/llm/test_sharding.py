@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from stratacloud.llm.sharding import shard_documents
 
 
@@ -29,3 +31,17 @@ def test_small_tables(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert sorted((r["size"], r.text_crc32, r.slot, r.law) for r in shard_documents(df).collect()) == [(16, 0, 0, "rows"), (17, 3904355907, 0, "rows")]
     assert shard_documents(df.limit(0)).count() == 0
+
+
+def test_large_hubs_keep_together(spark):
+    # 40 groups of a tenth of a shard, two of 60 %, one of 2.5 shards, among 240 000 rows: more than four buckets
+    even = 6000
+    n = F.col("id")
+    text = F.when(n < 40 * 600, F.concat(F.lit("g"), n % 40)).when(n < 40 * 600 + 7200, F.concat(F.lit("h"), n % 2)).when(n < 50000, F.lit("hot")).otherwise(F.concat(F.lit("u"), n))
+    df = spark.range(40 * even).select(n.alias("doc_id"), text.alias("text"))
+    held = shard_documents(df).join(df, "doc_id").groupBy("text", "shard").agg(F.count("*").alias("n")).where("text not like 'u%'").collect()
+    at = defaultdict(Counter)
+    for r in held:
+        at[r.text][r.shard] += r.n
+    assert all(len(at[f"g{i}"]) == 1 for i in range(40)) and len(at["h0"]) == len(at["h1"]) == 1
+    assert sum(v for _, v in at["hot"].most_common(4)) > 0.97 * 18800
