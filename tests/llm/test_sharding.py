@@ -45,3 +45,10 @@ def test_large_hubs_keep_together(spark):
         at[r.text][r.shard] += r.n
     assert all(len(at[f"g{i}"]) == 1 for i in range(40)) and len(at["h0"]) == len(at["h1"]) == 1
     assert sum(v for _, v in at["hot"].most_common(4)) > 0.97 * 18800
+
+
+def test_hubs_move_on_until_none_fits(spark):
+    # every row is linked, in triples that leave no shard room for a hub that it is not offered in time
+    df = spark.range(40 * 600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 3)).alias("text"))
+    rows = shard_documents(df).join(df, "doc_id")
+    assert rows.groupBy("text").agg(F.countDistinct("shard").alias("s")).where("s > 1").count() == 0
