@@ -1,8 +1,8 @@
 """The conversion of point files to an octree, stage by stage.
 
 Each stage is a class that offers only the next step: Scanned.validate(), Validated.plan(),
-Planned.build(), Built.write().  Rows come to the driver at three places: the frame, the
-deepest level, and the node table for the report of the commit.
+Planned.build(), Built.write().  Rows come to the driver for the frame, the deepest level, the
+report of the commit, and one for each file with a warning.
 """
 
 from __future__ import annotations
@@ -52,14 +52,14 @@ class Scanned:
     def validate(self) -> Validated:
         with Timed(self.config.observer, "validate"):
             checked = self.files.withColumns({"schema_id": F.when(F.length("extra_bytes") > 0, F.sha2("extra_bytes", 256))})
-            found = validate.mismatches(checked).orderBy("file_idx", "reason").limit(20).collect()
-            for row in found:
-                if row["reason"] in _ERRORS:
-                    raise _ERRORS[row["reason"]](f"file {row['file_idx']} differs from its reference in {row['reason']}")
+            found = materialized(validate.mismatches(checked), "mismatches")
+            row = found.where(F.col("reason").isin(*_ERRORS)).orderBy("file_idx", "reason").first()
+            if row:
+                raise _ERRORS[row["reason"]](f"file {row['file_idx']} differs from its reference in {row['reason']}")
             first = self.files.orderBy("file_idx").first()
             if self.config.temporal_stride is not None and (problem := validate.temporal_problem(first["point_format"], self.config.temporal_stride)):
                 raise errors.TemporalIndexError(problem)
-        warnings = [r["file_idx"] for r in found if r["reason"] == "vertical_only"]
+            warnings = [r["file_idx"] for r in found.where("reason = 'vertical_only'").orderBy("file_idx").collect()]
         return Validated(self.spark, self.path, self.files, self.config, tuple(warnings))
 
 

@@ -110,6 +110,19 @@ def test_validation_errors(spark, tile, tmp_path):
     assert scan.combined(flat).first().max_x == 1.0  # the empty file's bounds do not count
 
 
+def test_warnings_hide_no_error(spark):
+    def scanned(*more):
+        rows = [(0, 3006, 5613, 7), *[(i, 3006, None, 7) for i in range(1, 31)], *more]
+        files = spark.createDataFrame(rows, "file_idx int, epsg_h int, epsg_v int, point_format int")
+        nothing = {"wkt": "string", "extra_bytes": "binary", "extra_width": "int", "gps_standard": "boolean"}
+        return pipeline.Scanned(spark, "", files.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}), pipeline.Config())
+
+    assert scanned().validate().vertical_only == tuple(range(1, 31))
+    for row, error in (((31, 3007, 5613, 7), errors.CrsMismatch), ((31, 3006, 5613, 6), errors.FormatMismatch)):
+        with pytest.raises(error):
+            scanned(row).validate()
+
+
 def test_layout_sizes_and_extra_bytes():
     assert len(layout.pack_header(layout.Header())) == 375 and len(layout.pack_info((0, 0, 0), 1, 1, 0, 0, (0, 0))) == 160
     assert len(layout.pack_entry((0, 0, 0, 0), 1, 2, 3)) == 32 and len(layout.pack_temporal_header(1, 2, 3, 4, 5)) == 32
