@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratacloud.functions.crs import epsg_codes
 from stratacloud.functions.las import has_gps_time
+from stratacloud.sources import layout
 
 REASONS = ("crs", "point_format", "extra_bytes", "gps_time")
 
@@ -54,6 +55,34 @@ def mismatches(files: DataFrame) -> DataFrame:
     return both.select("file_idx", F.explode(F.array_compact(found)).alias("reason"))
 
 
+def schema_id(extra_bytes: Column) -> Column:
+    """Digest of an Extra Bytes record's structure: tiles that differ in their ranges only have the same; null without one."""
+    structure = F.udf(lambda data: layout.extra_structure(bytes(data)), "binary")
+    return F.when(F.length(extra_bytes) > 0, F.sha2(structure(F.coalesce(extra_bytes, F.lit(b""))), 256))
+
+
+def extra_stats(files: DataFrame) -> DataFrame:
+    """stats(file_idx, place, low, high, no_data) of files(file_idx, extra_bytes), a place for each axis of each field."""
+    read = F.udf(lambda data: layout.extra_stats(bytes(data)), "array<struct<place: int, low: double, high: double, no_data: boolean>>")
+    some = files.where("length(extra_bytes) > 0").select("file_idx", F.explode(read("extra_bytes")).alias("s"))
+    return some.select("file_idx", "s.*")
+
+
+def canonical(files: DataFrame) -> DataFrame:
+    """One row of what the merged file inherits: wkt of the first file with one, epsg_h and epsg_v of the first
+    file with codes or of that text, extra_bytes of the first file with them, extra_width and gps_standard of
+    the first file."""
+    coded = F.when(F.col("epsg_h").isNotNull(), F.col("file_idx"))
+    first = files.agg(
+        F.min_by("wkt", F.when(F.col("wkt").isNotNull(), F.col("file_idx"))).alias("wkt"), F.min_by(F.struct("epsg_h", "epsg_v"), coded).alias("codes"),
+        F.min_by("extra_bytes", F.when(F.length("extra_bytes") > 0, F.col("file_idx"))).alias("extra_bytes"),
+        F.min_by("extra_width", "file_idx").alias("extra_width"), F.min_by(F.coalesce("gps_standard", F.lit(True)), "file_idx").alias("gps_standard"),
+    )
+    h, v = epsg_codes(F.col("wkt"))
+    named = F.col("codes").isNotNull()
+    return first.select("wkt", F.when(named, F.col("codes.epsg_h")).otherwise(h).alias("epsg_h"), F.when(named, F.col("codes.epsg_v")).otherwise(v).alias("epsg_v"), "extra_bytes", "extra_width", "gps_standard")
+
+
 def temporal_problem(point_format: int, stride: int) -> str | None:
     """Why a temporal index can't be written, if it can't."""
     if stride <= 0:

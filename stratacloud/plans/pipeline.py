@@ -2,7 +2,7 @@
 
 Each stage is a class that offers only the next step: Scanned.validate(), Validated.plan(),
 Planned.build(), Built.write().  Rows come to the driver for the frame, the deepest level, the
-report of the commit, and one for each file with a warning.
+report of the commit, the fields of the Extra Bytes record, and one for each file with a warning.
 """
 
 from __future__ import annotations
@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratacloud import errors
-from stratacloud.frame import Frame, bounds, fit_frame, needs_refit
+from stratacloud.frame import Frame, bounds, fit_frame, needs_refit, no_nan
 from stratacloud.functions import sizing
 from stratacloud.functions.las import BASE_LENGTH, output_format
 from stratacloud.functions.keys import GRID_CELLS
 from stratacloud.lineage import materialized
 from stratacloud.operators import counting, index, leaves, lod, planning, scan, validate
 from stratacloud.plans.observer import Observer, Silent, Timed
-from stratacloud.sources import las
+from stratacloud.sources import las, layout
 
 _ERRORS = {"crs": errors.CrsMismatch, "point_format": errors.FormatMismatch, "extra_bytes": errors.ExtraBytesMismatch, "gps_time": errors.GpsTimeMismatch}
 
@@ -51,7 +51,7 @@ class Scanned:
 
     def validate(self) -> Validated:
         with Timed(self.config.observer, "validate"):
-            checked = self.files.withColumns({"schema_id": F.when(F.length("extra_bytes") > 0, F.sha2("extra_bytes", 256))})
+            checked = self.files.withColumn("schema_id", validate.schema_id(F.col("extra_bytes")))
             found = materialized(validate.mismatches(checked), "mismatches")
             row = found.where(F.col("reason").isin(*_ERRORS)).orderBy("file_idx", "reason").first()
             if row:
@@ -92,7 +92,7 @@ class Validated:
             cores = self.spark.sparkContext.defaultParallelism
             target = sizing.chunk_target(self.config.budget, cores, actual["n"], cores)
             chunks = materialized(planning.numbered(planning.chunk_plan(cells, depth, target)), "chunks")
-        return Planned(self.spark, points, frame, chunks, target, tuple(wrong), first["point_format"], self.config, actual["n"])
+        return Planned(self.spark, points, frame, chunks, target, tuple(wrong), first["point_format"], self.config, actual["n"], self.files)
 
 
 @dataclass(frozen=True)
@@ -106,6 +106,7 @@ class Planned:
     point_format: int
     config: Config
     total: int
+    files: DataFrame
 
     def build(self) -> Built:
         with Timed(self.config.observer, "build"):
@@ -131,6 +132,8 @@ class Built:
     def write(self, path: str) -> dict[str, str]:
         """Tables below path: points by level, sorted by node and GPS time; nodes, hierarchy pages, info, temporal samples and pages.
 
+        Info is one row: frame, counts, points by return number 1 to 15, coordinate system, and the Extra
+        Bytes record with the ranges of all files, by which the column extras of the points is read.
         Returns the folders by name.
         """
         config = self.planned.config
@@ -143,8 +146,10 @@ class Built:
             deepest = self.nodes.agg(F.max("level")).first()[0] or 0
             index.hierarchy_pages(self.nodes, deepest).write.mode("overwrite").parquet(out["pages"])
             f = self.planned.frame
-            info = self.points.agg(F.count("*").alias("points"), F.coalesce(F.min("gps_time"), F.lit(0.0)).alias("gps_min"), F.coalesce(F.max("gps_time"), F.lit(0.0)).alias("gps_max"))
+            time, returns = no_nan(F.col("gps_time")), F.array(*[F.count_if(F.col("return_number") == r) for r in range(1, 16)])
+            info = self.points.agg(F.count("*").alias("points"), F.coalesce(F.min(time), F.lit(0.0)).alias("gps_min"), F.coalesce(F.max(time), F.lit(0.0)).alias("gps_max"), returns.alias("returns"))
             info = info.select("*", *[F.lit(c).alias(f"center_{a}") for a, c in zip("xyz", f.center)], F.lit(f.half).alias("half"), F.lit(2 * f.half / config.grid_cells).alias("spacing"), F.lit(fmt).alias("point_format"))
+            info = info.join(F.broadcast(self._inherited()), F.lit(True))  # a row each
             info.write.mode("overwrite").parquet(out["info"])
             if config.temporal_stride is not None:
                 out |= {name: f"{path}/{name}" for name in ("temporal", "temporal_pages")}
@@ -153,6 +158,16 @@ class Built:
                 index.temporal_pages(self.spark.read.parquet(out["temporal"]), deepest).write.mode("overwrite").parquet(out["temporal_pages"])
         return out
 
+    def _inherited(self) -> DataFrame:
+        """The row of validate.canonical with the ranges of all files in extra_bytes."""
+        found = validate.canonical(self.planned.files)
+        record = found.first()["extra_bytes"]
+        if not record:
+            return found
+        # three rows for each field of one record
+        merged = {r["place"]: (r["low"], r["high"], r["has_no_data"]) for r in validate.merged_stats(validate.extra_stats(self.planned.files)).collect()}
+        return found.withColumn("extra_bytes", F.lit(layout.with_extra_stats(bytes(record), merged)))
+
 
 def convert(spark: SparkSession, source: str, target: str, config: Config = Config()) -> dict[str, str]:
     """All stages: files below source to tables below target."""

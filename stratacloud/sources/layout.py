@@ -78,6 +78,53 @@ def pack_extra_bytes(fields: list[ExtraField]) -> bytes:
     return out
 
 
+#: Bits of a descriptor's options, and those that change how values are decoded.
+NO_DATA, LOW, HIGH, STRUCTURE = 1, 2, 4, 24
+
+
+def extra_structure(data: bytes) -> bytes:
+    """What descriptors must agree in, without the ranges and their bits; a record of no whole descriptors as it is."""
+    if len(data) % 192:
+        return bytes(data)
+    name = lambda b: b.split(b"\0")[0].ljust(32, b"\0")
+    each = [data[at : at + 192] for at in range(0, len(data), 192)]
+    return b"".join(bytes([d[2], d[3] & STRUCTURE]) + name(d[4:36]) + d[40:64] + d[112:160] + name(d[160:192]) for d in each)
+
+
+def extra_stats(data: bytes) -> list[tuple]:
+    """(place, low, high, no_data) of each axis of each descriptor, place = 3 * descriptor + axis; null what isn't given."""
+    if len(data) % 192:
+        return []
+    out = []
+    for n, f in enumerate(parse_extra_bytes(data)):
+        for axis in range(3):
+            low, high = f.low[axis] if f.options & LOW else None, f.high[axis] if f.options & HIGH else None
+            out.append((3 * n + axis, low, high, bool(f.options & NO_DATA)))
+    return out
+
+
+def with_extra_stats(data: bytes, merged: dict[int, tuple]) -> bytes:
+    """Descriptors with the ranges of merged[place] = (low, high, no_data); bits follow the first axis."""
+    out = bytearray(data)
+    for n in range(len(data) // 192 if len(data) % 192 == 0 else 0):
+        at = 192 * n
+        code, three = out[at + 2], [merged.get(3 * n + axis, (None, None, False)) for axis in range(3)]
+        bits = out[at + 3] & STRUCTURE | (NO_DATA if three[0][2] else 0)
+        for side, bit, place in ((0, LOW, 64), (1, HIGH, 88)):
+            if three[0][side] is not None:
+                bits |= bit
+                out[at + place : at + place + 24] = b"".join(_pack_any(code, v[side]) for v in three)
+        out[at + 3] = bits
+    return bytes(out)
+
+
+def _pack_any(code: int, value: float | None) -> bytes:
+    if code > 8:
+        return struct.pack("<d", value or 0.0)
+    least, most = (0, 2**64 - 1) if code % 2 else (-(2**63), 2**63 - 1)
+    return struct.pack("<Q" if code % 2 else "<q", min(max(int(value or 0), least), most))
+
+
 @dataclass
 class Header:
     version: tuple[int, int] = (1, 4)

@@ -123,6 +123,26 @@ def test_warnings_hide_no_error(spark):
             scanned(row).validate()
 
 
+def test_conversion_keeps_crs_extra_bytes_and_returns(spark, tmp_path):
+    folder = tmp_path / "tiles"
+    folder.mkdir()
+    for n, (low, high) in enumerate(((3.0, 5.0), (-2.0, 4.0))):
+        field = layout.ExtraField(4, 6 | 8, "height", "d", (0,) * 3, (low, 0, 0), (high, 0, 0), (0.1, 0, 0), (0.0,) * 3)
+        dark = layout.ExtraField(9, 0, "dark", "", (0.0,) * 3, (float("nan"), 0, 0), (0.0,) * 3, (0.0,) * 3, (0.0,) * 3)
+        vlrs = (layout.pack_vlr("LASF_Projection", 2112, WKT.encode() + b"\0") if n else b"") + layout.pack_vlr("LASF_Spec", 4, layout.pack_extra_bytes([field, dark]))
+        keys = layout.pack_vlr("LASF_Projection", 34735, struct.pack("<8H", 1, 1, 0, 1, 3072, 0, 1, 3006)) if not n else b""
+        r = np.zeros(5, layout.record_dtype(7, 42))
+        r["x"], r["b14"], r["gps_time"] = np.arange(5) * 100, [1, 1, 2, 3, 0], np.nan if n else 7.0
+        h = layout.Header(encoding=1, point_format=7, record_length=42, data_offset=375 + len(vlrs + keys), vlr_count=2, points=5, high=(4.0, 0.0, 0.0))
+        (folder / f"{n}.las").write_bytes(layout.pack_header(h) + vlrs + keys + r.tobytes())
+    out = pipeline.convert(spark, str(folder), str(tmp_path / "out"))
+    info = spark.read.parquet(out["info"]).collect()
+    assert len(info) == 1 and (info[0].wkt, info[0].epsg_h, info[0].epsg_v, info[0].extra_width, info[0].gps_standard) == (WKT, 3006, None, 6, True)
+    assert info[0].returns == [4, 2, 2] + [0] * 12 and (info[0].gps_min, info[0].gps_max, info[0].points) == (7.0, 7.0, 10)
+    height, dark = layout.parse_extra_bytes(bytes(info[0].extra_bytes))
+    assert (height.name, height.options, height.low[0], height.high[0], height.scale[0], dark.options) == ("height", 6 | 8, -2.0, 5.0, 0.1, 0)
+
+
 def test_layout_sizes_and_extra_bytes():
     assert len(layout.pack_header(layout.Header())) == 375 and len(layout.pack_info((0, 0, 0), 1, 1, 0, 0, (0, 0))) == 160
     assert len(layout.pack_entry((0, 0, 0, 0), 1, 2, 3)) == 32 and len(layout.pack_temporal_header(1, 2, 3, 4, 5)) == 32
