@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacloud.llm._common import WORD, cut
+from stratacloud.llm._common import WORD, cut, repeated_ids, text_or_empty
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -115,11 +115,19 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The rows of docs as the mix takes them, each as often as it is taken whole.
 
     A document of which a part is taken stays whole with the chance of that part, decided
-    by a seeded hash of its id; documents never taken go, and so do rows without id.  Rows that share a doc_id are taken
-    alike.  Columns are those of docs.
+    by a seeded hash of its id, and documents never taken go.  Rows without id, or with one that other rows
+    have too, go by id and text; of them only equal rows are taken alike.  Columns are those of docs.
     """
-    taken = mix(docs, seed=seed, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("taken") / F.greatest("size", F.lit(1))).alias("_times"))
+    own = docs.withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    again = repeated_ids(docs)
+    odd = F.col("_id").isNull()
+    if not again.isEmpty():
+        own = own.join(again.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again")), "_id", "left")
+        odd = odd | F.col("_again").isNotNull()
+    named = F.concat_ws(":", F.coalesce("doc_id", F.lit("")), F.coalesce("source", F.lit("")), F.md5(text_or_empty("text")))
+    own = own.withColumn("doc_id", F.when(odd, named).otherwise(F.col("doc_id")))
+    taken = mix(own, seed=seed, **options).groupBy("doc_id").agg(F.max(F.col("taken") / F.greatest("size", F.lit(1))).alias("_times"))
     chance = F.conv(F.substring(_ticket(seed + 1), 1, 8), 16, 10).cast("double") / 2.0**32
     times = F.floor("_times").cast("int") + F.when(chance < F.col("_times") - F.floor("_times"), 1).otherwise(0)
-    kept = docs.join(taken, "doc_id").withColumn("_copies", times).where("_copies > 0")
+    kept = own.join(taken, "doc_id").withColumn("_copies", times).where("_copies > 0").withColumn("doc_id", F.col("_id"))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
