@@ -10,6 +10,7 @@ lowest score less ten and counts a token for each of its UTF-8 bytes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,8 @@ from stratacloud.llm.bpe import _runs
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
+#: A mark and what follows up to the next: a mark in a text begins a word, as in the tokenizers library.
+MARKED = re.compile(f"{MARK}[^{MARK}]*")
 MEMO_WORDS = 1 << 18
 UNKNOWN_PENALTY = 10.0
 
@@ -75,7 +78,7 @@ class CountOnlyViterbi:
         except KeyError:
             for w in words:
                 if (n := memo.get(w)) is None:
-                    n = self.word(MARK + w)
+                    n = self.word(MARK + w) if MARK not in w else sum(map(self.word, MARKED.findall(w if w[0] == MARK else MARK + w)))
                     if len(memo) >= MEMO_WORDS:
                         memo.clear()
                     memo[w] = n
@@ -91,7 +94,7 @@ def load(path: str) -> CountOnlyViterbi:
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and n_tokens of every whole text.
 
-    Words are separated by white space as Unicode has it.  Null, empty and blank texts have
+    Words are separated by white space as Unicode has it, which counts no token itself.  Null, empty and blank texts have
     0 tokens.  Repeated rows are counted each; an empty table gives an empty result; other
     columns are ignored.
     """

@@ -40,3 +40,14 @@ def test_ties_and_unknown_characters():
     # equal scores: the longest last piece stays, so "aba" is one piece and "ab" beats "a" + "b"
     assert viterbi.word("▁aba") == 2 and viterbi.word("▁abb") == 3 and viterbi.word("▁aé") == 4
     assert brute("▁aba") == -4.0
+
+
+def test_marks_in_a_text_equal_the_library():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(tc.VOCABULARY))
+    library = Tokenizer(models.Unigram([(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())], 0, True))
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(prepend_scheme="always", split=True)])
+    viterbi = tc.load(tokenizer_path(tc.VOCABULARY))
+    for text in ("▁", "▁▁ a▁b", "a▁", "▁the", "▁▁▁▁", "one▁▁two three▁", "x ▁\n▁y"):
+        assert viterbi.text(text) == len(library.encode(text, add_special_tokens=False).ids), text
