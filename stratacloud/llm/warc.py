@@ -1,8 +1,9 @@
 """WARC archives as chunked record tables.
 
 A payload is written as rows of at most `CHUNK_BYTES` bytes, (record id, chunk number), each
-carrying the SHA-1 of the payload so far, so neither the writer nor the reader ever copies a
-whole record.  Every chunk becomes a segment of its WARC record (WARC 1.1 section 7: the
+carrying the SHA-1 of the payload so far.  The writer cuts chunks from the Arrow buffer of its
+batch and never copies a whole record in Python, nor does the reader; but html is one value of
+a row, so the join of the plan, its digest and that batch hold each page whole.  Every chunk becomes a segment of its WARC record (WARC 1.1 section 7: the
 first keeps the record's type, later ones are continuations), segments end with CRLF CRLF,
 and Spark's text writer, with that as its line separator, stores them in gzip files, which
 it neither splits nor reorders.  The reader walks each file by Content-Length.
@@ -70,12 +71,12 @@ def _pieces(payload: memoryview, limit: int) -> Iterator[memoryview]:
             return
 
 
-def segments(page_id: int | None, url: str | None, html: str | None, record_type: str, refers_to: int | None, size: int, digest: str, limit: int) -> Iterator[str]:
-    """WARC segments of one page without their closing CRLF CRLF."""
+def segments(page_id: int | None, url: str | None, html: str | memoryview | None, record_type: str, refers_to: int | None, size: int, digest: str, limit: int) -> Iterator[str]:
+    """WARC segments of one page without their closing CRLF CRLF; html as text, or its UTF-8 bytes, which aren't copied."""
     record = hashlib.md5(f"{page_id}\n{url}\n{digest}".encode()).hexdigest()
     record = f"urn:uuid:{record[:8]}-{record[8:12]}-{record[12:16]}-{record[16:20]}-{record[20:]}"
     running, done = hashlib.sha1(), 0
-    payload = memoryview((html or "").encode())
+    payload = html if isinstance(html, memoryview) else memoryview((html or "").encode())
     for number, piece in enumerate(_pieces(payload, limit), 1):
         running.update(piece)
         done += len(piece)
@@ -101,9 +102,10 @@ def write_archives(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "html", "record_type", "refers_to", "payload_bytes", "payload_digest")]
+            read = lambda c, v: v.as_py() if c != "html" or not v.is_valid else memoryview(v.as_buffer())
+            columns = [(c, batch.column(c)) for c in ("page_id", "url", "html", "record_type", "refers_to", "payload_bytes", "payload_digest")]
             for i in range(batch.num_rows):
-                for text in segments(*(c[i].as_py() for c in columns), chunk_bytes):
+                for text in segments(*(read(c, v[i]) for c, v in columns), chunk_bytes):
                     out.append(text)
                     size += len(text)
                     if size >= BATCH_BYTES:

@@ -27,3 +27,14 @@ def test_write_and_read(spark, tmp_path):
         assert all(r.t == (payloads[r.page_id] or "") for r in stored if r.page_id and r.page_id not in revisits)
     warc.write_archives(warc.plan_records(pages.limit(0)), str(tmp_path / "none"))
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_segments_do_not_copy_a_page():
+    import tracemalloc
+
+    page = ("é" * (8 << 20)).encode()
+    tracemalloc.start()
+    lengths = [len(s.split("\r\n\r\n", 1)[1]) for s in warc.segments(1, "u", memoryview(page), "response", None, len(page), "d", 1 << 20)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(lengths) == 8 << 20 and peak < len(page) / 2
