@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Keys of more than this part of all rows are hot: there can't be more of them than its inverse, so they are broadcast.
+HOT_KEYS = 4096
+#: Groups of at most so many rows in all are broadcast whole.
+FEW_ROWS = 1 << 16
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a local one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    """The folder that the session names in spark.checkpoint.dir; where none is named, a new one in local mode and an error on a cluster."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -47,6 +56,24 @@ def drop_cut(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups(keys, size, ...): a group for each key, `size` its number of rows, `total` that of all rows.
+
+    Groups of more than total / HOT_KEYS rows are fewer than HOT_KEYS, so they go by
+    broadcast and their rows stay where they are; the rest meet in a shuffled join, in which
+    no key has more rows than that.  Both inputs are read twice, so beyond FEW_ROWS rows groups are
+    written first, and rows should be a written table.
+    """
+    if total <= FEW_ROWS:
+        return rows.join(F.broadcast(groups), keys, how)
+    groups = groups if hasattr(groups, "_cut_path") else cut(groups, "groups")
+    hot = F.col(size) > max(1, total // HOT_KEYS)
+    few = F.broadcast(groups.where(hot))
+    near = rows.join(few, keys)
+    rest = rows.join(F.broadcast(groups.where(hot).select(*keys)), keys, "left_anti")
+    return near.unionByName(rest.join(groups.where(~hot), keys, how))
+
+
 def repeated_ids(docs: DataFrame) -> DataFrame:
     """doc_id of the ids that more than one row has."""
     return docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")

@@ -3,17 +3,18 @@
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.  Every word gets a 64-bit
 hash that depends on its bytes alone (polynomial over random byte values, then a mixing
 finaliser), so hashes agree between executors and runs.  The work is done on slices of a
-few megabytes, whatever the batch size, so memory stays bounded by the longest text.
+quarter megabyte, whatever the batch size, so memory stays bounded by the longest text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -56,7 +57,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n; kept for the usual slice size only."""
     if "up" in _POWERS and len(_POWERS["up"]) >= n:
         return _POWERS["up"], _POWERS["down"]
-    size = max(n, 2 * SLICE_BYTES)
+    size = max(n, SLICE_BYTES + 1)
 
     def run(base: int) -> np.ndarray:
         out = np.full(size, base, dtype=np.uint64)
@@ -65,11 +66,42 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             return np.multiply.accumulate(out)
 
     up, down = run(int(_BASE)), run(_inverse(int(_BASE)))
-    if size <= 2 * SLICE_BYTES:
+    if size <= SLICE_BYTES + 1:
         _POWERS.update(up=up, down=down)
     return up, down
 
 
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(make: Callable, *args):
+    """make(*args), kept for the next task of this worker; only one such model is kept at a time."""
+    key = (make.__module__, make.__qualname__, *args)
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make(*args)
+    return _RESIDENT[key]
+
+
+def frugal(run: Callable) -> Callable:
+    """run for mapInArrow, with Arrow's buffers from the system and freed memory given back when a task ends.
+
+    Workers live on between tasks; what one task has freed would else stay with each of them.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library than glibc
+                pass
+
+    return task
+
+
 class Words:
     """Words of consecutive texts: hashes, byte spans, and the first word of each text."""
 

@@ -3,7 +3,7 @@
 A word is a doubly linked list of symbols; a priority queue holds (merge rank, position)
 of adjacent pairs, entries whose symbols have changed since are skipped when popped, and
 equal ranks merge from the left.  Words repeat, so each worker keeps a bounded memo of
-encoded words.  Decoding joins vocabulary strings by a space, as the library does for a
+encoded words, two generations of 98 304.  Decoding joins vocabulary strings by a space, as the library does for a
 file without a decoder.
 """
 
@@ -13,7 +13,6 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacloud.llm._common import tokenizer_path
+from stratacloud.llm._text import frugal, resident
 
 VOCABULARY = "word_bpe_49k.json"
-MEMO_WORDS = 1 << 18
+#: The memo holds two generations of at most so many words, none longer than `MEMO_CHARS`, so at most about 45 MB.
+MEMO_WORDS, MEMO_CHARS = 3 << 15, 48
 #: Texts are encoded in runs of about so many characters, so that a batch's tokens stay few.
-RUN_CHARS = 1 << 21
+RUN_CHARS = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -41,6 +42,21 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Memo(dict):
+    """Results by word, in two generations: once the younger one is full, the older one goes."""
+
+    def __init__(self) -> None:
+        self.older: dict = {}
+
+    def keep(self, word: str, found):
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class WordBpe:
     """Encoder and decoder for a vocabulary file with an end-of-word suffix."""
 
@@ -59,7 +75,7 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
         self.letters = byte_letters()
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo()
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one word."""
@@ -102,10 +118,7 @@ class WordBpe:
             except KeyError:
                 for w in words:
                     if (ids := memo.get(w)) is None:
-                        ids = self.merge(w)
-                        if len(memo) >= MEMO_WORDS:
-                            memo.clear()
-                        memo[w] = ids
+                        ids = memo.keep(w, memo.older.get(w) or self.merge(w))
                     out.append(ids)
         return out
 
@@ -116,7 +129,6 @@ class WordBpe:
         return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     with open(path, encoding="utf-8") as f:
         return WordBpe(json.load(f))
@@ -144,7 +156,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, decode_too: bool = Fal
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer_path(vocabulary))
+        bpe = resident(load, tokenizer_path(vocabulary))
         for batch in batches:
             at = 0
             for texts in _runs(batch.column("text")):
@@ -158,7 +170,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, decode_too: bool = Fal
                 at += len(texts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded string" * decode_too)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, ids array<int>" + ", decoded string" * decode_too)
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -168,13 +180,13 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer_path(vocabulary))
+        bpe = resident(load, tokenizer_path(vocabulary))
         for batch in batches:
             texts = [bpe.decode(x.as_py() or []) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded string")
+    return tokens.select("doc_id", "ids").mapInArrow(frugal(run), f"doc_id {kind}, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
