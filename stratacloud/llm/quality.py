@@ -15,17 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacloud.llm._text import Words, hash_words, mix64, string_slices
+from stratacloud.llm._common import cut, drop_cut, text_or_empty
+from stratacloud.llm._text import Words, frugal, hash_words, mix64, string_slices
 
 COLUMNS = 1 << 18
 #: The model learns from at most so many labelled rows, those of the smallest id hashes, and
 #: of these from texts of at most so many characters: that bounds what reaches the driver.
 TRAIN_ROWS = 6000
 TRAIN_CHARS = 40_000
+#: The rows taken bring at most so many indicators in all, 4 bytes each to the driver and 20 while fitting.
+TRAIN_INDICATORS = 1 << 22
 HELD_OUT_FOLDS = 5
 THRESHOLD = 0.3
 
@@ -139,7 +141,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], si
 def _svm(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> Model:
     ratio = log_count_ratio(rows, labels)
     square = ratio**2
-    x = [np.append(r, COLUMNS) for r in rows]  # the last column is the bias
+    x = [np.append(r, np.int32(COLUMNS)) for r in rows]  # the last column is the bias
     v = [np.append(ratio[r] / max(float(square[r].sum()) ** 0.5, 1e-12), 1.0) for r in rows]
     share = np.bincount(labels, minlength=2) / len(labels)
     w = dual_coordinate_descent(x, v, 2.0 * labels - 1, cost * np.where(labels == 1, 0.5 / share[1], 0.5 / share[0]) * 4)
@@ -179,7 +181,9 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Model of docs(doc_id, text) and labels(doc_id, target): 1 is good, null labels are left out.
 
-    Rows that held_out() marks are never used; of several labels of a document the smallest holds.
+    Rows that held_out() marks are never used; of several labels of a document the smallest holds, and
+    of several texts that comes first by code point.  Rows count in the order of the hash of their id,
+    as far as the bounds on rows and indicators go.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(target).alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows` rows of two numbers
@@ -190,14 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
             columns = [pa.array(x.astype(np.int32)) for x in found.of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x.tolist() for x in columns], pa.list_(pa.int32()))], names=["doc_id", "label", "columns"])
 
-    chosen = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     chosen = chosen.join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))), "doc_id")
-    learnt = chosen.select("doc_id", "label", "text").mapInArrow(indicators, "doc_id long, label int, columns array<int>").toArrow()
+    single = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most `rows` texts
+    counted = cut(single.mapInArrow(frugal(indicators), "doc_id long, label int, columns array<int>"), "indicators")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = counted.select("doc_id", F.sum(F.size("columns")).over(order).alias("upto")).where(F.col("upto") <= TRAIN_INDICATORS).select("doc_id")
+    learnt = counted.join(F.broadcast(within), "doc_id").toArrow()
+    drop_cut(counted)
     if not learnt.num_rows:
         return fit_rows([], np.zeros(0, np.int64))
     found = learnt.column("columns").combine_chunks()
-    order = np.lexsort((pc.list_value_length(found).to_numpy(zero_copy_only=False), learnt.column("doc_id").to_numpy()))
-    return fit_rows([found[int(i)].values.to_numpy().astype(np.int64) for i in order], learnt.column("label").to_numpy()[order])
+    order = np.argsort(learnt.column("doc_id").to_numpy())
+    return fit_rows([found[int(i)].values.to_numpy() for i in order], learnt.column("label").to_numpy()[order])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -215,7 +224,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([held.value.score(x) for x in found.of(batch.column("text"))], pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -229,4 +238,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             yield batch.filter(pa.array([held.value.score(x) >= threshold for x in found.of(batch.column(text))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

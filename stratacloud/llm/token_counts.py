@@ -12,19 +12,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stratacloud.llm._common import tokenizer_path
-from stratacloud.llm.bpe import _runs
+from stratacloud.llm._text import frugal, resident
+from stratacloud.llm.bpe import Memo, _runs
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: A mark and what follows up to the next: a mark in a text begins a word, as in the tokenizers library.
 MARKED = re.compile(f"{MARK}[^{MARK}]*")
-MEMO_WORDS = 1 << 18
 UNKNOWN_PENALTY = 10.0
 
 
@@ -43,32 +42,48 @@ class CountOnlyViterbi:
 
         self.automaton = ahocorasick.Automaton()
         self.single = {p for p, _ in pieces if len(p) == 1}
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
-        self.memo: dict[str, int] = {}
+        self.memo = Memo()
 
     def word(self, word: str) -> int:
-        """Pieces of the best segmentation of a word that carries its mark."""
-        n = len(word)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ending[end].append(match)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(n):
+        """Pieces of the best segmentation of a word that carries its mark.
+
+        Scores and counts are kept for as many ends as the longest piece spans, so a word
+        without any space needs no more memory than a short one.
+        """
+        span = min(self.longest, len(word)) + 1
+        best, count = [0.0] * span, [0] * span
+        matches = self.automaton.iter(word)
+        following, match = next(matches, (-1, None))
+        for end, letter in enumerate(word):
             top, pieces = None, 0
+            ending = []
+            while following == end:
+                ending.append(match)
+                following, match = next(matches, (-1, None))
             # longest first: of equal scores the piece that starts earliest stays
-            for length, score in sorted(ending[end], reverse=True):
-                total = best[end + 1 - length] + score
+            for length, score in sorted(ending, reverse=True) if len(ending) > 1 else ending:
+                at = (end + 1 - length) % span
+                total = best[at] + score
                 if top is None or total > top:
-                    top, pieces = total, count[end + 1 - length] + 1
-            if word[end] not in self.single:
-                total = best[end] + self.unknown
+                    top, pieces = total, count[at] + 1
+            if letter not in self.single:
+                at = end % span
+                total = best[at] + self.unknown
                 if top is None or total > top:
-                    top, pieces = total, count[end] + len(word[end].encode())
-            best[end + 1], count[end + 1] = top, pieces
-        return count[n]
+                    top, pieces = total, count[at] + len(letter.encode())
+            at = (end + 1) % span
+            best[at], count[at] = top, pieces
+        return count[len(word) % span]
+
+    def marked(self, word: str) -> int:
+        if MARK not in word:
+            return self.word(MARK + word)
+        return sum(self.word(m[0]) for m in MARKED.finditer(word if word[0] == MARK else MARK + word))
 
     def text(self, text: str) -> int:
         total, memo = 0, self.memo
@@ -78,15 +93,11 @@ class CountOnlyViterbi:
         except KeyError:
             for w in words:
                 if (n := memo.get(w)) is None:
-                    n = self.word(MARK + w) if MARK not in w else sum(map(self.word, MARKED.findall(w if w[0] == MARK else MARK + w)))
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[w] = n
+                    n = memo.keep(w, memo.older.get(w) or self.marked(w))
                 total += n
             return total
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> CountOnlyViterbi:
     return CountOnlyViterbi(read_pieces(path))
 
@@ -100,10 +111,10 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        viterbi = load(tokenizer_path(vocabulary))
+        viterbi = resident(load, tokenizer_path(vocabulary))
         for batch in batches:
             counts = [viterbi.text(t) for texts in _runs(batch.column("text")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, n_tokens long")
