@@ -1,9 +1,10 @@
 """WARC archives as chunked record tables.
 
 A payload is written as rows of at most `CHUNK_BYTES` bytes, (record id, chunk number), each
-carrying the SHA-1 of the payload so far.  The writer cuts chunks from the Arrow buffer of its
-batch and never copies a whole record in Python, nor does the reader; but html is one value of
-a row, so the join of the plan, its digest and that batch hold each page whole.  Every chunk becomes a segment of its WARC record (WARC 1.1 section 7: the
+carrying the SHA-1 of the payload so far.  html is one value of a stored row, which Spark's scan
+holds once; from there on the JVM cuts a row for each chunk and nothing holds a whole
+record: the writer's state for a record is its running digest, and so is the reader's.
+Which records are revisits is decided on digests and ids alone.  Every chunk becomes a segment of its WARC record (WARC 1.1 section 7: the
 first keeps the record's type, later ones are continuations), segments end with CRLF CRLF,
 and Spark's text writer, with that as its line separator, stores them in gzip files, which
 it neither splits nor reorders.  The reader walks each file by Content-Length.
@@ -15,15 +16,17 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._common import text_or_empty
+from stratacloud.llm._common import cut, hot_join, text_or_empty
+from stratacloud.llm._text import frugal
 
 CHUNK_BYTES = 1 << 20
 #: Payloads below this size are stored each time; revisits of them would save nothing.
 LEAST_SHARED_BYTES = 1000
 BATCH_BYTES = 4 << 20
+BROADCAST_GROUPS = 1 << 17
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -34,18 +37,23 @@ def plan_records(pages: DataFrame, least: int = LEAST_SHARED_BYTES) -> DataFrame
     """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to.
 
     Of records with equal payloads (SHA-1 and length) of at least `least` bytes that with the
-    largest page_id is the response and the others revisit it.  The groups are aggregated
-    before they are shuffled; the join back is on the digest, and adaptive skew handling
-    splits a hot one.  Null html counts as empty; rows without page_id are responses, or revisits if the
-    group has an id.
+    largest page_id is the response and the others revisit it.  Groups of equal payloads are counted
+    on digests and ids and written; up to BROADCAST_GROUPS of them (about 70 bytes each) pages look theirs up where
+    they are, beyond that in a join on the digest from which hot payloads are kept.  Null html counts as empty;
+    rows without page_id are responses, or revisits if the
+    group has an id; of rows repeating the response's id all are responses.
     """
-    rows = pages.select("page_id", "url", text_or_empty("html").alias("html"))
-    size = F.octet_length("html").cast("long")
-    rows = rows.withColumns({"payload_bytes": size, "payload_digest": F.sha1(F.col("html").cast("binary"))})
-    shared = (
-        rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    )
-    joined = rows.join(shared, ["payload_digest", "payload_bytes"], "left")
+    size = F.octet_length(text_or_empty("html")).cast("long")
+    digest = F.sha1(text_or_empty("html").cast("binary"))
+    signed = pages.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest")).where(F.col("payload_bytes") >= least)
+    shared = signed.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    shared = cut(shared, "shared")
+    rows = pages.select("page_id", "url", text_or_empty("html").alias("html"), size.alias("payload_bytes"), digest.alias("payload_digest"))
+    keys = ["payload_digest", "payload_bytes"]
+    if shared.count() <= BROADCAST_GROUPS:
+        joined = rows.join(F.broadcast(shared), keys, "left")
+    else:
+        joined = hot_join(rows, shared, keys, "copies", pages.count(), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "payload_digest",
@@ -53,67 +61,83 @@ def plan_records(pages: DataFrame, least: int = LEAST_SHARED_BYTES) -> DataFrame
     )
 
 
+def cut_chunks(records: DataFrame, limit: int) -> DataFrame:
+    """records with a row for each chunk: chunk_no from 0, chunks, and chunk instead of html.
+
+    Chunks have at most `limit` bytes, at least 4, and end between UTF-8 characters; a record
+    without payload has one empty chunk.  The rows of a record follow each other in their task.
+    """
+    if limit < 4:
+        raise ValueError("cut_chunks: a chunk must hold any character")
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    count = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / F.lit(limit - 3))).cast("int")
+    one = records.withColumn("_payload", payload).withColumn("chunks", count).drop("html")
+    numbered = one.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    within = lambda at: F.substring("_payload", at + 1, F.lit(1)).between(F.lit(bytes([0x80])), F.lit(bytes([0xBF])))
+
+    def edge(number: Column) -> Column:
+        """Byte at which a chunk begins: the first at or after its place that begins a character."""
+        at = number * (limit - 3)
+        return F.when(~within(at), at).when(~within(at + 1), at + 1).when(~within(at + 2), at + 2).otherwise(at + 3)
+
+    begin = F.when(F.col("chunk_no") == 0, 0).otherwise(edge(F.col("chunk_no")))
+    end = F.when(F.col("chunk_no") + 1 == F.col("chunks"), F.octet_length("_payload")).otherwise(edge(F.col("chunk_no") + 1))
+    return numbered.withColumn("chunk", F.substring("_payload", begin + 1, end - begin)).drop("_payload")
+
+
 def _line(value: str) -> str:
     """A header value: line breaks and percent signs percent-encoded."""
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _pieces(payload: memoryview, limit: int) -> Iterator[memoryview]:
-    """Chunks of at most `limit` bytes that end between UTF-8 characters; one empty chunk if there is nothing."""
-    at, n = 0, len(payload)
-    while True:
-        end = min(n, at + limit)
-        while end < n and payload[end] & 0xC0 == 0x80:
-            end -= 1
-        yield payload[at:end]
-        at = end
-        if at >= n:
-            return
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    made = hashlib.md5(f"{page_id}\n{url}\n{digest}".encode()).hexdigest()
+    return f"urn:uuid:{made[:8]}-{made[8:12]}-{made[12:16]}-{made[16:20]}-{made[20:]}"
 
 
-def segments(page_id: int | None, url: str | None, html: str | memoryview | None, record_type: str, refers_to: int | None, size: int, digest: str, limit: int) -> Iterator[str]:
-    """WARC segments of one page without their closing CRLF CRLF; html as text, or its UTF-8 bytes, which aren't copied."""
-    record = hashlib.md5(f"{page_id}\n{url}\n{digest}".encode()).hexdigest()
-    record = f"urn:uuid:{record[:8]}-{record[8:12]}-{record[12:16]}-{record[16:20]}-{record[20:]}"
-    running, done = hashlib.sha1(), 0
-    payload = html if isinstance(html, memoryview) else memoryview((html or "").encode())
-    for number, piece in enumerate(_pieces(payload, limit), 1):
-        running.update(piece)
-        done += len(piece)
-        last = done == len(payload)
-        kind = record_type if number == 1 else "continuation"
-        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record}{'' if number == 1 else f'-{number}'}>", f"WARC-Date: {DATE}"]
-        if number == 1:
-            head += [f"WARC-Target-URI: {_line(url or '')}"] * (url is not None) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
-            head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
-            if record_type == "revisit":
-                head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
-        else:
-            head += [f"WARC-Segment-Origin-ID: <{record}>"]
-        if number > 1 or not last:
-            head += [f"WARC-Segment-Number: {number}"] + [f"WARC-Segment-Total-Length: {done}"] * last
-        head += [f"X-Digest-So-Far: sha1:{running.hexdigest()}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(piece)}"]
-        yield "\r\n".join(head) + END + str(piece, "utf-8")
+def segment(row: dict, chunk: memoryview, so_far: str, done: int) -> str:
+    """The WARC segment of a chunk without its closing CRLF CRLF; row has the other columns of cut_chunks()."""
+    first, last = row["chunk_no"] == 0, row["chunk_no"] + 1 == row["chunks"]
+    number, record = row["chunk_no"] + 1, record_id(row["page_id"], row["url"], row["payload_digest"])
+    kind = row["record_type"] if first else "continuation"
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record}{'' if first else f'-{number}'}>", f"WARC-Date: {DATE}"]
+    if first:
+        head += [f"WARC-Target-URI: {_line(row['url'] or '')}"] * (row["url"] is not None) + [f"X-Page-ID: {row['page_id']}"] * (row["page_id"] is not None)
+        head += [f"WARC-Payload-Digest: sha1:{row['payload_digest']}", f"X-Payload-Length: {row['payload_bytes']}"]
+        if kind == "revisit":
+            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {row['refers_to']}"]
+    else:
+        head += [f"WARC-Segment-Origin-ID: <{record}>"]
+    if not first or not last:
+        head += [f"WARC-Segment-Number: {number}"] + [f"WARC-Segment-Total-Length: {done}"] * last
+    head += [f"X-Digest-So-Far: sha1:{so_far}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(chunk)}"]
+    return "\r\n".join(head) + END + str(chunk, "utf-8")
 
 
 def write_archives(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write records of plan_records() as gzip WARC files below path; an empty table writes no record."""
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "chunk_no", "chunks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
+        out, size, running, done = [], 0, hashlib.sha1(), 0
         for batch in batches:
-            read = lambda c, v: v.as_py() if c != "html" or not v.is_valid else memoryview(v.as_buffer())
-            columns = [(c, batch.column(c)) for c in ("page_id", "url", "html", "record_type", "refers_to", "payload_bytes", "payload_digest")]
+            columns, chunks = [batch.column(c) for c in names], batch.column("chunk")
             for i in range(batch.num_rows):
-                for text in segments(*(read(c, v[i]) for c, v in columns), chunk_bytes):
-                    out.append(text)
-                    size += len(text)
-                    if size >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-                        out, size = [], 0
+                row = {c: v[i].as_py() for c, v in zip(names, columns)}
+                chunk = memoryview(chunks[i].as_buffer())
+                if row["chunk_no"] == 0:
+                    running, done = hashlib.sha1(), 0
+                running.update(chunk)
+                done += len(chunk)
+                out.append(segment(row, chunk, running.hexdigest(), done))
+                size += len(out[-1])
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    out, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    records.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").mode("overwrite").text(path)
+    rows = cut_chunks(records, chunk_bytes).select(*names, "chunk")
+    rows.mapInArrow(frugal(run), "value string").write.option("lineSep", END).option("compression", "gzip").mode("overwrite").text(path)
 
 
 class _Reader:
@@ -197,7 +221,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         yield batch_of()
 
     lines = spark.read.option("lineSep", END).text(path).select("value", F.input_file_name().alias("file"))
-    return lines.mapInArrow(run, CHUNKS)
+    return lines.mapInArrow(frugal(run), CHUNKS)
 
 
 def checked_records(chunks: DataFrame) -> DataFrame:

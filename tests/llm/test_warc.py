@@ -29,12 +29,28 @@ def test_write_and_read(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_segments_do_not_copy_a_page():
-    import tracemalloc
-
-    page = ("é" * (8 << 20)).encode()
-    tracemalloc.start()
-    lengths = [len(s.split("\r\n\r\n", 1)[1]) for s in warc.segments(1, "u", memoryview(page), "response", None, len(page), "d", 1 << 20)]
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert sum(lengths) == 8 << 20 and peak < len(page) / 2
+def test_chunks_are_cut_between_characters(spark):
+    text = "aé日🙂" * 500 + "z"
+    records = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "🙂" * 9)], "page_id long, html string")
+    for limit in (4, 7, 10, 1000):
+        rows = warc.cut_chunks(records, limit).collect()
+        for page, want in ((1, text), (2, ""), (3, ""), (4, "🙂" * 9)):
+            own = sorted((r.chunk_no, bytes(r.chunk)) for r in rows if r.page_id == page)
+            assert [n for n, _ in own] == list(range(len(own))) and all(len(c) <= limit for _, c in own)
+            assert "".join(c.decode() for _, c in own) == want
+
+
+def test_payload_of_several_chunks_and_repeated_ids(spark, tmp_path):
+    """More than two chunks of the default size; rows repeating an id, with equal and unlike payloads."""
+    large = "é\r\n\r\nx" * 400_000
+    rows = [(1, "u", large), (2, "u", large), (2, "u", large), (3, "v", "y" * 2000), (3, "v", "z" * 2000), (4, "v", "y" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(pages), str(tmp_path / "w"))
+    chunks = warc.read_archives(spark, str(tmp_path / "w"))
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    got = sorted(tuple(r) for r in warc.checked_records(chunks).na.fill(-1).collect())
+    n = len(large.encode())
+    want = [(1, n, sha(large), "revisit", 2), (2, n, sha(large), "response", -1), (2, n, sha(large), "response", -1)]
+    want += [(3, 2000, sha("y" * 2000), "revisit", 4), (3, 2000, sha("z" * 2000), "response", -1), (4, 2000, sha("y" * 2000), "response", -1)]
+    assert got == sorted(want)
+    assert chunks.where("page_id = 2").agg(F.max("chunk_no"), F.max(F.octet_length("chunk"))).first()[0] >= 2
