@@ -3,18 +3,19 @@
 A message is an array of parts: text, image, audio or document.  The visitor turns text into
 escaped text and every other part into a placeholder, in order, and records what the
 placeholder stands for and how many tokens it expands to.  Control strings all begin with
-"<", which escaped text never holds, so a formatted conversation reads back exactly.
+"<", which escaped text never holds, and a kind that isn't known stands escaped after a marker of
+its own, so that it can't forge one: a formatted conversation reads back exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacloud.llm._common import text_or_empty
 
 PART = "struct<kind:string,text:string,ref:string,amount:double>"
-TURN, CLOSE, END = "<turn ", ">", "</turn>\n"
+TURN, CLOSE, END, OTHER = "<turn ", ">", "</turn>\n", "<part "
 #: Tokens that a unit of `amount` expands to: image pixels, seconds of sound, document pages.
 TOKENS = {"image": 1 / 784.0, "audio": 25.0, "document": 600.0}
 
@@ -45,6 +46,12 @@ def _is_attachment(part: Column) -> Column:
     return F.coalesce(part["kind"] != "text", F.lit(False))
 
 
+def placeholder(part: Column) -> Column:
+    """<image>, <audio>, <document>; <part kind> for any other kind, escaped."""
+    known = part["kind"].isin(*TOKENS)
+    return F.when(known, F.concat(F.lit("<"), part["kind"], F.lit(">"))).otherwise(F.concat(F.lit(OTHER), escape(part["kind"]), F.lit(CLOSE)))
+
+
 def format_messages(messages: DataFrame) -> DataFrame:
     """One row for each conv_id: formatted, n_turns, loss_spans, attachments, expanded_tokens.
 
@@ -57,25 +64,24 @@ def format_messages(messages: DataFrame) -> DataFrame:
     an empty result.
     """
     parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
-    content = F.array_join(F.transform(parts, lambda p: F.when(_is_attachment(p), F.concat(F.lit("<"), escape(p["kind"]), F.lit(">"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
+    content = F.array_join(F.transform(parts, lambda p: F.when(_is_attachment(p), placeholder(p)).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
     role = F.coalesce(F.col("role"), F.lit(""))
     found = F.transform(F.filter(parts, _is_attachment), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
-    turn = F.struct("turn", role.alias("role"), content.alias("content"), found.alias("found"))
-    grouped = messages.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(CLOSE))
-    written = F.transform("turns", lambda t: F.concat(head(t), t["content"], F.lit(END)))
-    lengths = F.transform("turns", lambda t: F.struct(F.char_length(head(t)).alias("head"), F.char_length(t["content"]).alias("body"), (t["role"] == "assistant").alias("learn")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    step = lambda acc, t: F.struct(
-        (acc["at"] + t["head"] + t["body"] + len(END)).alias("at"),
-        F.when(t["learn"], F.array_append(acc["spans"], F.struct((acc["at"] + t["head"]).alias("start"), t["body"].alias("length")))).otherwise(acc["spans"]).alias("spans"),
-    )
+    written = F.concat(F.lit(TURN), escape(role), F.lit(CLOSE), content, F.lit(END))
+    turns = messages.select("conv_id", "turn", role.alias("role"), content.alias("content"), found.alias("found"), written.alias("written"))
+    # where each turn begins: a running sum over the conversation, dealt out as the rows that it is gathered into
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content", "found").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("at", F.coalesce(F.sum(F.char_length("written").cast("long")).over(order), F.lit(0)))
+    body = F.struct((F.col("at") + F.char_length(F.concat(F.lit(TURN), escape(F.col("role")), F.lit(CLOSE)))).cast("int").alias("start"), F.char_length("content").alias("length"))
+    # "at" alone puts the turns in order: every written turn has some length
+    turn = F.struct("at", (F.col("role") == "assistant").alias("learn"), body.alias("span"), "written", "found")
+    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     attachments = F.flatten(F.transform("turns", lambda t: t["found"]))
     return grouped.select(
         "conv_id",
-        F.array_join(written, "").alias("formatted"),
+        F.array_join(F.transform("turns", lambda t: t["written"]), "").alias("formatted"),
         F.size("turns").cast("long").alias("n_turns"),
-        F.aggregate(lengths, start, step)["spans"].alias("loss_spans"),
+        F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: t["span"]).alias("loss_spans"),
         F.transform(attachments, lambda a, i: F.struct(i.alias("place"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))).alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("long"), lambda acc, a: acc + a["tokens"]).alias("expanded_tokens"),
     )
