@@ -10,7 +10,9 @@ it, the smallest ids.  No task and no driver step holds more than a block's hist
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from itertools import islice
 
 import numpy as np
@@ -18,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacloud.llm._common import cut
+from stratacloud.llm._common import cut, shared_dir
+from stratacloud.llm._text import frugal
 
 QUERY_BLOCK = 4096
 BIN_BITS = 8
+#: Blocks of queries that run at the same time.
+BLOCKS_AT_ONCE = 3
 #: Vectors scored at a time against a block of queries.
 ROWS = 1024
 
@@ -108,7 +113,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, lim
     while True:
         bins = 1 << BIN_BITS
         held = spark.broadcast((ids, queries, low, bins))
-        counts = vectors.mapInArrow(_histogram(held, k, shift), "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+        counts = vectors.mapInArrow(frugal(_histogram(held, k, shift)), "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
         downward = Window.partitionBy("query").orderBy(F.desc("bin"))
         reached = counts.withColumn("reached", F.sum("n").over(downward)).groupBy("query").agg(
             F.coalesce(F.max(F.when(F.col("reached") >= k, F.col("bin"))), F.lit(0)).alias("bin")
@@ -122,7 +127,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, lim
         shift = max(0, shift - BIN_BITS)
     held = spark.broadcast((ids, queries, low, 0))
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    best = vectors.mapInArrow(_select(held, k), "query long, query_id long, vec_id long, score long")
+    best = vectors.mapInArrow(frugal(_select(held, k)), "query long, query_id long, vec_id long, score long")
     return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -143,10 +148,24 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, block: int = QUERY_BLOCK) ->
     kind = np.float32 if limit < 2**24 else np.float64 if limit < 2**53 else np.int64
     spark = vectors.sparkSession
     rows = table.where(is_query).distinct().orderBy("vec_id").toLocalIterator()
-    parts = []
-    while part := list(islice(rows, block)):
+    path = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
+    schema = "query_id long, rank int, vec_id long, score long"
+
+    def search(part: list) -> None:
         queries = _matrix(pa.array([r["q"] for r in part], pa.list_(pa.int64())), width, kind)
-        parts.append(_block(table, np.array([r["vec_id"] for r in part], np.int64), queries, k, limit))
-        if len(parts) > 1:  # earlier blocks are written, so that the plan stays small
-            parts = [cut(parts[0].unionByName(parts[1]), "found")]
-    return parts[0] if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        _block(table, np.array([r["vec_id"] for r in part], np.int64), queries, k, limit).write.mode("append").parquet(f"{path}/block={part[0]['vec_id']}")
+
+    if table.where(is_query).isEmpty():
+        return spark.createDataFrame([], schema)
+    # a few blocks at a time, so that the passes of one fill the gaps of another; each writes its own folder
+    with ThreadPoolExecutor(BLOCKS_AT_ONCE) as pool:
+        running = set()
+        while part := list(islice(rows, block)):
+            if len(running) >= BLOCKS_AT_ONCE:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                for task in done:
+                    task.result()
+            running.add(pool.submit(search, part))
+        for task in running:
+            task.result()
+    return spark.read.schema(f"{schema}, block long").parquet(path).drop("block")

@@ -32,3 +32,12 @@ def test_few_candidates_and_none(spark):
     got = topk.top_k(df, F.col("vec_id") == 0).collect()
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 131072), (2, 3, -589824)]
     assert topk.top_k(df, F.col("vec_id") == 5).count() == topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_repeated_ids(spark):
+    """A repeated row is a candidate each time; two vectors of one id are two queries' rows under that id."""
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0]), (2, [3.0])], "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") == 0, k=3).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 2, 196608), (2, 1, 131072), (3, 1, 131072)]
+    both = topk.top_k(df, F.col("vec_id") == 2, k=1).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in both) == [(2, 1, 131072), (2, 1, 393216)]
