@@ -151,6 +151,17 @@ def _even_out(current: DataFrame, total: int, shards: int, buckets: int) -> Data
     return out.drop("bucket", "offset", "_rank", "_at", "_k", "_to")
 
 
+def cut_links(placed: DataFrame) -> DataFrame:
+    """One row: links, cut of placed(link, shard): pairs of rows with equal link, and those of them in two shards.
+
+    Counted from sizes of groups, so no pairs are made; null links link nothing.
+    """
+    pairs = lambda c: F.expr(f"{c} * ({c} - 1) div 2")
+    held = placed.where("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n"))
+    each = held.groupBy("link").agg(F.sum("n").alias("n"), F.sum(pairs("n")).alias("inside"))
+    return each.agg(F.coalesce(F.sum(pairs("n")), F.lit(0)).alias("links"), F.coalesce(F.sum(pairs("n") - F.col("inside")), F.lit(0)).alias("cut"))
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 

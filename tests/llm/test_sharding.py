@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from stratacloud.llm.sharding import shard_documents
+from stratacloud.llm.sharding import assign, cut_links, shard_documents
 
 
 def test_even_gapless_and_linked(spark):
@@ -52,3 +52,28 @@ def test_hubs_move_on_until_none_fits(spark):
     df = spark.range(40 * 600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 3)).alias("text"))
     rows = shard_documents(df).join(df, "doc_id")
     assert rows.groupBy("text").agg(F.countDistinct("shard").alias("s")).where("s > 1").count() == 0
+
+
+def test_cut_links_against_brute_force(spark):
+    """The measure equals a count of pairs, and the labels cut far fewer links than the hash they start from."""
+    texts = [f"t{i % 130}" for i in range(1200)] + [None] * 300
+    rows = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, link string")
+    placed = assign(rows, shards=8)
+    got, at = cut_links(placed).first(), defaultdict(list)
+    for r in placed.where("link is not null").collect():
+        at[r.link].append(r.shard)
+    brute = [(x, y) for shards in at.values() for i, x in enumerate(shards) for y in shards[:i]]
+    assert (got.links, got.cut) == (len(brute), sum(x != y for x, y in brute))
+    hashed = cut_links(rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(8)))).first()
+    assert hashed.links == got.links and got.cut < 0.05 * hashed.cut
+    counts = Counter(r.shard for r in placed.collect())
+    assert len(counts) == 8 and max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_null_ids_and_long_texts(spark):
+    long = "x" * 2_000_000
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, long), (2, long), (2, long)], "doc_id long, text string")
+    rows = shard_documents(df).collect()
+    assert sorted(r["size"] for r in rows) == [17, 17] + [2_000_016] * 3
+    counts = Counter(r.shard for r in rows)
+    assert max(counts.values()) == 1
