@@ -10,42 +10,38 @@ AXES = ("x", "y", "z")
 GRID_CELLS = 128
 
 
-def _bisect(value: Column, low: float, high: float, depth: int) -> Column:
+def _bisect(value: str, low: float, high: float, depth: int) -> str:
     """Cell index after `depth` halvings at low + (high - low) / 2; a value on the plane goes up."""
-    start = F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"), F.lit(0).alias("k"))
+    mid = "(s.a + (s.b - s.a) / 2.0D)"
+    step = f"named_struct('a', if({value} >= {mid}, {mid}, s.a), 'b', if({value} >= {mid}, s.b, {mid}), 'k', s.k * 2 + cast({value} >= {mid} as int))"
+    return f"aggregate(sequence(1, {depth}), named_struct('a', {low!r}D, 'b', {high!r}D, 'k', 0), (s, i) -> {step}, s -> s.k)"
 
-    def step(s: Column, _: Column) -> Column:
-        mid = s["a"] + (s["b"] - s["a"]) / 2.0
-        up = value >= mid
-        return F.struct(F.when(up, mid).otherwise(s["a"]).alias("a"), F.when(up, s["b"]).otherwise(mid).alias("b"), (s["k"] * 2 + up.cast("int")).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda s: s["k"])
-
-
-def cell_index(value: Column, center: float, half: float, depth: int) -> Column:
-    """Index of the cell of an axis at `depth`, equal to bisection bit for bit.
+def cell_index(value: str, center: float, half: float, depth: int) -> Column:
+    """Index of the cell of an axis at `depth` for the column named `value`, equal to bisection bit for bit.
 
     The position (value - low) / side decides alone wherever it is farther from a cell
     border than the rounding of all halvings together; only values nearer than that, about
-    one in millions, are bisected.
+    one in millions, are bisected.  The bisection is a higher-order function, so the projection
+    is compiled by itself and not with its neighbours.  Expressions are SQL text, which is
+    parsed in one step however large it is.
     """
     if depth == 0:
         return F.lit(0)
-    low, high = center - half, center + half
+    low, high = float(center - half), float(center + half)
     side = (high - low) / 2**depth
     # every mid is off by at most an ulp of the largest bound, and so is the position
     margin = 4.0 * (depth + 2) * 2.0**-52 * max(abs(low), abs(high), high - low) / side if side > 0 else 1.0
+    exact = _bisect(value, low, high, depth)
     if margin >= 0.25:
-        return _bisect(value, low, high, depth)
-    position = (value - F.lit(low)) / F.lit(side)
-    bounded = F.least(F.greatest(position, F.lit(0.0)), F.lit(float(2**depth - 1)))
-    cell = F.floor(bounded)
-    near = F.abs(position - F.floor(position + 0.5).cast("double")) <= margin
-    return F.when(near, _bisect(value, low, high, depth)).otherwise(cell.cast("int"))
+        return F.expr(exact)
+    position = f"(({value} - {low!r}D) / {side!r}D)"
+    cell = f"cast(floor(least(greatest({position}, 0.0D), {float(2**depth - 1)!r}D)) as int)"
+    return F.expr(f"case when abs({position} - cast(floor({position} + 0.5D) as double)) <= {margin!r}D then {exact} else {cell} end")
 
 
-def point_key(frame, depth: int, world: tuple[Column, Column, Column]) -> list[Column]:
-    """Columns kx, ky, kz of the cell at `depth` that holds a world position."""
+def point_key(frame, depth: int, world: tuple[str, str, str] = ("wx", "wy", "wz")) -> list[Column]:
+    """Columns kx, ky, kz of the cell at `depth` that holds a world position, given by the names of its columns."""
     return [cell_index(w, c, frame.half, depth).alias(f"k{a}") for a, w, c in zip(AXES, world, frame.center)]
 
 
@@ -76,15 +72,15 @@ def octant(x: Column, y: Column, z: Column) -> Column:
     return x.bitwiseAND(1) + y.bitwiseAND(1) * 2 + z.bitwiseAND(1) * 4
 
 
-#: Masks and shifts that spread 21 bits over every third bit of 63.
-SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+#: Seven bits spread over every third bit, for each of the 128 values of seven bits.
+SPREAD = [sum((v >> bit & 1) << (3 * bit) for bit in range(7)) for v in range(128)]
 
 
 def _spread(v: Column) -> Column:
-    v = v.cast("long").bitwiseAND(F.lit(0x1FFFFF).cast("long"))
-    for by, mask in SPREAD:
-        v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(mask).cast("long"))
-    return v
+    """The low 21 bits over every third bit of 63, seven at a time by a table."""
+    v, table = v.cast("long"), F.expr(f"array({', '.join(f'{s}L' for s in SPREAD)})")
+    part = lambda by: F.shiftleft(F.get(table, F.shiftright(v, by).bitwiseAND(127).cast("int")), 3 * by)
+    return part(0).bitwiseOR(part(7)).bitwiseOR(part(14))
 
 
 def morton(x: Column, y: Column, z: Column) -> Column:

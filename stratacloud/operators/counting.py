@@ -17,7 +17,7 @@ def world() -> tuple[Column, Column, Column]:
 
 def grid_counts(points: DataFrame, frame: Frame, depth: int) -> DataFrame:
     """x, y, z, n of the cells at `depth` that hold points; counts combine before the shuffle."""
-    keys = [k.alias(a) for a, k in zip("xyz", point_key(frame, depth, world()))]
+    keys = [k.alias(a) for a, k in zip("xyz", point_key(frame, depth))]
     return points.select(*keys).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
 
 

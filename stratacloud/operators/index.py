@@ -55,9 +55,13 @@ def running_offsets(rows: DataFrame, size: str, order: list[str], start: int, ra
 def chunk_offsets(nodes: DataFrame, data_offset: int, record: int) -> DataFrame:
     """level, x, y, z, offset, byte_size, point_count of nodes(n): contiguous in key order after the chunk table pointer.
 
-    Sizes are those of stored records; empty nodes have offset and size 0.
+    Sizes are those of stored records; empty nodes have offset and size 0.  Sizes and counts are
+    stored in 32 bits: a node beyond that fails.
     """
-    sized = nodes.select(*KEY, F.col("n").alias("point_count"), (F.col("n") * record).alias("byte_size"))
+    size = F.col("n") * record
+    wide = F.raise_error(F.concat_ws(" ", F.lit("a node of more than 2147483647 bytes or points:"), *KEY, size.cast("string")))
+    stored = F.when(F.greatest(size, "n") > 2**31 - 1, wide.cast("long")).otherwise(size)
+    sized = nodes.select(*KEY, F.col("n").alias("point_count"), stored.alias("byte_size"))
     full = running_offsets(sized.where("point_count > 0"), "byte_size", KEY, data_offset + 8)
     full = full.select(*KEY, F.col("offset").cast("long").alias("offset"), "byte_size", "point_count")
     empty = sized.where("point_count = 0").select(*KEY, F.lit(0).cast("long").alias("offset"), "byte_size", "point_count")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacloud.frame import no_nan
+from stratacloud.functions.keys import octant
 
 BUCKETS = 20
 
@@ -23,6 +24,14 @@ def totals(nodes: DataFrame, bytes_stored: int = 0, bytes_raw: int = 0) -> DataF
     return out.select("*", F.when(F.col("nodes") > 0, F.expr("points div nodes")).otherwise(0).alias("avg_points"), ratio.alias("ratio"))
 
 
+def top_children(nodes: DataFrame) -> DataFrame:
+    """level, x, y, z of every parent of nodes(level, x, y, z, n) with octant and n of its fullest child, the first of equal ones."""
+    parents = [F.shiftright(a, 1).alias(a) for a in "xyz"]
+    child = F.struct("n", (-octant(F.col("x"), F.col("y"), F.col("z"))).alias("back"))
+    up = nodes.where("level > 0").select((F.col("level") - 1).alias("level"), *parents, child.alias("child"))
+    return up.groupBy("level", "x", "y", "z").agg(F.max("child").alias("c")).select("level", "x", "y", "z", (-F.col("c.back")).alias("octant"), F.col("c.n").alias("n"))
+
+
 def compare_levels(a: DataFrame, b: DataFrame) -> DataFrame:
     """level, nodes and points of two files and their differences; levels of either."""
     x = a.groupBy("level").agg(F.count("*").alias("nodes_a"), F.sum("n").alias("points_a"))

@@ -9,7 +9,8 @@ from stratacloud.frame import Frame
 from stratacloud.functions.keys import ancestor, point_key
 from stratacloud.functions.sizing import MAX_LEAF_POINTS
 from stratacloud.lineage import materialized
-from stratacloud.operators.counting import KEY, grid_counts, level_totals, world
+from stratacloud.operators.counting import KEY, grid_counts, level_totals
+from stratacloud.operators.joins import BROADCAST_CELLS, cell_join
 
 DEPTH_CAP = 20
 #: Points are counted first at a depth of at most FIRST_DEPTH; cells still too full are counted STEP levels deeper.
@@ -59,7 +60,7 @@ def leaf_cells(points: DataFrame, frame: Frame, max_leaf: int = MAX_LEAF_POINTS,
         out = done if out is None else out.unionByName(done)
         if not more:
             break
-        keys = [k.alias(f"_{a}") for a, k in zip("xyz", point_key(frame, depth, world()))]
+        keys = [k.alias(f"_{a}") for a, k in zip("xyz", point_key(frame, depth))]
         hot = open_.select(*[F.col(a).alias(f"_{a}") for a in "xyz"])
         rest = rest.select("*", *keys).join(hot, ["_x", "_y", "_z"], "left_semi").select(*points.columns)
     return out
@@ -74,16 +75,26 @@ def leaf_nodes(cells: DataFrame) -> DataFrame:
 def assign_leaves(points: DataFrame, frame: Frame, max_leaf: int = MAX_LEAF_POINTS, cap: int = DEPTH_CAP) -> DataFrame:
     """points with level, kx, ky, kz of their leaf.
 
-    One join on the cell for each depth that was counted; all but the first see only the
-    cells that were too full before.
+    The key at the deepest counted level is computed once and shifted for the others.  While
+    the counted cells are few enough to be broadcast, one pass looks each point up at every depth;
+    beyond that there is a join for each depth, in which no cell is hot.
     """
     cells = leaf_cells(points, frame, max_leaf, cap)
+    counted = {r["depth"]: r["cells"] for r in cells.groupBy("depth").agg(F.count("*").alias("cells")).collect()} or {cap: 0}
+    deepest = max(counted)
+    keyed = points.select("*", *[k.alias(f"_{a}") for a, k in zip("xyz", point_key(frame, deepest))])
+    place = lambda level: [F.call_function("shiftright", F.col(f"_{a}"), (F.lit(deepest) - level).cast("int")).alias(f"k{a}") for a in "xyz"]
+    own = lambda depth: cells.where(F.col("depth") == depth).select(*[F.col(a).alias(f"_{a}{depth}") for a in "xyz"], F.col("leaf_level").alias(f"_level{depth}"), F.col("n").alias(f"_n{depth}"))
+    at = lambda depth: [F.shiftright(f"_{a}", deepest - depth).alias(f"_{a}{depth}") for a in "xyz"]
+    if sum(counted.values()) <= BROADCAST_CELLS:
+        for depth in counted:
+            keyed = keyed.select("*", *at(depth)).join(F.broadcast(own(depth)), [f"_{a}{depth}" for a in "xyz"], "left")
+        found = keyed.withColumn("_level", F.coalesce(*[f"_level{depth}" for depth in counted]))
+        return found.where("_level is not null").select(*points.columns, F.col("_level").alias("level"), *place(F.col("_level")))
     out = None
-    for depth in sorted(r["depth"] for r in cells.select("depth").distinct().collect()) or [cap]:
-        own = cells.where(F.col("depth") == depth).select(*[F.col(a).alias(f"_{a}") for a in "xyz"], F.col("leaf_level").alias("level"))
-        keyed = points.select("*", *[k.alias(f"_{a}") for a, k in zip("xyz", point_key(frame, depth, world()))])
-        up = [ancestor(F.col(f"_{a}"), F.lit(depth), F.col("level")).alias(f"k{a}") for a in "xyz"]
-        found = keyed.join(own, ["_x", "_y", "_z"]).select(*points.columns, "level", *up)
+    for depth in counted:
+        joined = cell_join(keyed.select("*", *at(depth)), own(depth), [f"_{a}{depth}" for a in "xyz"], f"_n{depth}")
+        found = joined.select(*points.columns, F.col(f"_level{depth}").alias("level"), *place(F.col(f"_level{depth}")))
         out = found if out is None else out.unionByName(found)
     return out
 

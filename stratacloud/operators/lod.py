@@ -26,6 +26,22 @@ def sample_cells(points: DataFrame, frame: Frame, cells: int = GRID_CELLS) -> Da
     return points.withColumns({"cell": linear_cell(*at, cells), "code": morton(*[F.greatest(off[a], F.lit(0)) for a in "xyz"])})
 
 
+def _sampled(active: DataFrame, frame: Frame, level: int, cells: int, id_col: str) -> DataFrame:
+    """id, px, py, pz, cell, place of points in nodes at `level` + 1: sample_cells() for one level, whose side is a number."""
+    side = 2.0 * frame.half / 2.0**level
+    steps = side / min(frame.scale)
+    size = int(max(float(int(steps)) + (steps - int(steps) >= 0.5), float(cells)))
+    axes = list(zip("xyz", frame.center, frame.scale, frame.offset))
+    low = [f"({float(c - frame.half)!r}D + cast(shiftright(k{a}, 1) as double) * {side!r}D - {float(o)!r}D) / {float(s)!r}D as b{a}" for a, c, s, o in axes]
+    border = lambda b: f"cast(signum({b}) * if(abs({b}) - floor(abs({b})) >= 0.5D, floor(abs({b})) + 1.0D, cast(floor(abs({b})) as double)) as bigint)"
+    off = [f"greatest(cast({a} as bigint) - {border(f'b{a}')}, 0L) as o{a}" for a in "xyz"]
+    at = {a: f"least(o{a} * {cells}L div {size}L, {cells - 1}L)" for a in "xyz"}
+    cell = f"cast({at['x']} + {at['y']} * {cells} + {at['z']} * {cells * cells} as int)"
+    placed = active.selectExpr(id_col, "kx", "ky", "kz", "x", "y", "z", *low).selectExpr(id_col, "kx", "ky", "kz", *off)
+    place = F.struct(octant(F.col("kx"), F.col("ky"), F.col("kz")).alias("octant"), morton(F.col("ox"), F.col("oy"), F.col("oz")).alias("code"), id_col)
+    return placed.select(F.expr("shiftright(kx, 1) as px"), F.expr("shiftright(ky, 1) as py"), F.expr("shiftright(kz, 1) as pz"), F.expr(cell).alias("cell"), place.alias("place"))
+
+
 def promote_level(active: DataFrame, frame: Frame, level: int, cells: int = GRID_CELLS, id_col: str = "point_id") -> DataFrame:
     """Points of nodes at `level` + 1 with the node of `level` for those that are promoted.
 
@@ -34,24 +50,15 @@ def promote_level(active: DataFrame, frame: Frame, level: int, cells: int = GRID
     are aggregates joined back on the unique id, so coincident points in one cell are
     combined before the shuffle.
     """
-    parents = {f"p{a}": F.shiftright(f"k{a}", 1) for a in "xyz"}
-    placed = active.withColumns({**parents, "plevel": F.lit(level)})
-    placed = sample_cells(placed, frame, cells).withColumn("octant", octant(F.col("kx"), F.col("ky"), F.col("kz")))
-    narrow = placed.select(id_col, "px", "py", "pz", "kx", "ky", "kz", "cell", "octant", "code")
-    order = F.struct("octant", "code", id_col)
-    first = narrow.groupBy("px", "py", "pz", "cell").agg(F.min(order).alias("f"), F.min_by(F.struct("kx", "ky", "kz"), order).alias("k"))
-    chosen = first.select(f"f.{id_col}", "k.kx", "k.ky", "k.kz", F.col("f").alias("place"))
+    first = _sampled(active, frame, level, cells, id_col).groupBy("px", "py", "pz", "cell").agg(F.min("place").alias("place"))
+    child = ["px * 2 + (place.octant & 1) as kx", "py * 2 + (shiftright(place.octant, 1) & 1) as ky", "pz * 2 + shiftright(place.octant, 2) as kz"]
+    chosen = first.selectExpr("place", *child)
     given = chosen.groupBy("kx", "ky", "kz").agg(F.count("*").alias("given"), F.max("place").alias("last"))
     held = active.groupBy("kx", "ky", "kz").agg(F.count("*").alias("held"))
-    emptied = given.join(held, ["kx", "ky", "kz"]).where("given = held").select(F.col(f"last.{id_col}").alias(id_col))
-    going = chosen.select(id_col).join(emptied, id_col, "left_anti").withColumn("going", F.lit(True))
-    joined = active.join(going, id_col, "left")
-    up = F.coalesce("going", F.lit(False))
-    return joined.select(
-        *[c for c in active.columns if c not in NODE],
-        F.when(up, F.lit(level)).otherwise(F.col("level")).cast("int").alias("level"),
-        *[F.when(up, F.shiftright(k, 1)).otherwise(F.col(k)).alias(k) for k in ("kx", "ky", "kz")],
-    )
+    emptied = given.join(held, ["kx", "ky", "kz"]).where("given = held").selectExpr(f"last.{id_col} as {id_col}")
+    going = chosen.selectExpr(f"place.{id_col} as {id_col}").join(emptied, id_col, "left_anti").withColumn("going", F.lit(True))
+    moved = [f"if(going, shiftright({k}, 1), {k}) as {k}" for k in ("kx", "ky", "kz")]
+    return active.join(going, id_col, "left").selectExpr(*[c for c in active.columns if c not in NODE], f"if(going, {level}, level) as level", *moved)
 
 
 def thin(points: DataFrame, frame: Frame, max_level: int, cells: int = GRID_CELLS, id_col: str = "point_id") -> DataFrame:

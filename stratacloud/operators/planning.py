@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from stratacloud.frame import Frame
 from stratacloud.functions.keys import ancestor, point_key
 from stratacloud.functions.sizing import split_levels
-from stratacloud.operators.counting import KEY, level_totals, world
+from stratacloud.lineage import materialized
+from stratacloud.operators.counting import KEY, level_totals
+from stratacloud.operators.joins import cell_join
 
 
 def chunk_roots(cells: DataFrame, depth: int, target: int) -> DataFrame:
@@ -44,30 +46,31 @@ def chunk_plan(cells: DataFrame, depth: int, target: int) -> DataFrame:
 
 
 def cell_chunks(roots: DataFrame, cells: DataFrame, depth: int, target: int) -> DataFrame:
-    """x, y, z, chunk_level of every counted cell: the level of the chunk that its points belong to."""
-    levels = cells.select("x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    """x, y, z, cell_points, chunk_level of every counted cell: the level of the chunk that its points belong to."""
+    levels = cells.select("x", "y", "z", F.col("n").alias("cell_points"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
     up = [ancestor(F.col(a), F.lit(depth), F.col("level")).alias(f"a{a}") for a in "xyz"]
     roots = roots.select("level", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), "n")
     extra = F.when((F.col("level") == depth) & (F.col("n") > target), split_levels(F.col("n"), target)).otherwise(0)
-    found = levels.select("x", "y", "z", "level", *up).join(roots, ["level", "ax", "ay", "az"])
-    return found.select("x", "y", "z", (F.col("level") + extra).alias("chunk_level"))
+    found = levels.select("x", "y", "z", "cell_points", "level", *up).join(roots, ["level", "ax", "ay", "az"])
+    return found.select("x", "y", "z", "cell_points", (F.col("level") + extra).alias("chunk_level"))
 
 
 def route_points(points: DataFrame, frame: Frame, depth: int, target: int, deepest: int, cells: DataFrame | None = None) -> DataFrame:
     """points with chunk_level, cx, cy, cz.
 
-    The deepest key is computed once; its ancestors are shifts.  One equi-join on the finest
-    cell finds the chunk level (adaptive execution broadcasts the cell table if it is small).
+    The deepest key is computed once; its ancestors are shifts.  The table of finest cells is
+    written and looked up by cell_join(): by broadcast up to a checked size.
     """
     from stratacloud.operators.counting import grid_counts
 
     cells = grid_counts(points, frame, depth) if cells is None else cells
-    lut = cell_chunks(chunk_roots(cells, depth, target), cells, depth, target)
-    deep = points.select("*", *[k.alias(f"d{a}") for a, k in zip("xyz", point_key(frame, deepest, world()))])
+    cells = materialized(cells, "cells")
+    lut = materialized(cell_chunks(chunk_roots(cells, depth, target), cells, depth, target), "lut")
+    deep = points.select("*", *[k.alias(f"d{a}") for a, k in zip("xyz", point_key(frame, deepest))])
     keyed = deep.select("*", *[F.shiftright(f"d{a}", deepest - depth).alias(a) for a in "xyz"]) if not {"x", "y", "z"} & set(points.columns) else None
     if keyed is None:
         raise ValueError("route_points: points carry world positions only")
-    routed = keyed.join(lut, ["x", "y", "z"])
+    routed = cell_join(keyed, lut, ["x", "y", "z"], "cell_points")
     chunk = [ancestor(F.col(f"d{a}"), F.lit(deepest), F.col("chunk_level")).alias(f"c{a}") for a in "xyz"]
     return routed.select(*points.columns, "chunk_level", *chunk)
 
@@ -75,3 +78,10 @@ def route_points(points: DataFrame, frame: Frame, depth: int, target: int, deepe
 def numbered(plan: DataFrame) -> DataFrame:
     """Chunks with chunk_id from 0 in key order; chunks are few, one row each."""
     return plan.withColumn("chunk_id", F.row_number().over(Window.orderBy(*KEY)) - 1)
+
+
+def planned_and_actual(plan: DataFrame, routed: DataFrame) -> DataFrame:
+    """level, x, y, z, estimate, n, difference of every planned chunk and every chunk that points were routed to."""
+    n = routed.groupBy(F.col("chunk_level").alias("level"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")).agg(F.count("*").alias("n"))
+    both = plan.join(n, KEY, "full").na.fill(0, ["estimate", "n"])
+    return both.select(*KEY, "estimate", "n", (F.col("n") - F.col("estimate")).alias("difference"))

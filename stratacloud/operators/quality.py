@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacloud.frame import Frame
@@ -47,9 +47,24 @@ def point_checks(points: DataFrame, frame: Frame) -> DataFrame:
 
 
 def contiguous_chunks(entries: DataFrame) -> DataFrame:
-    """rule, broken: entries(offset, byte_size, point_count) that don't begin where the one before ends."""
-    full = entries.where("point_count > 0").withColumn("file", F.lit(0))
-    before = Window.partitionBy("file").orderBy("offset")  # one row for each node
-    gaps = full.withColumn("end", F.lag(F.col("offset") + F.col("byte_size")).over(before)).where("end is not null and end <> offset")
+    """rule, broken: entries(offset, byte_size, point_count) that begin where no other ends, offsets used twice, empty entries with a place.
+
+    Equi-joins on the offset: no task sees all nodes.
+    """
+    full = entries.where("point_count > 0")
+    # a chunk that isn't the first must begin where some other ends, and two can't begin at one place
+    ends = full.select((F.col("offset") + F.col("byte_size")).alias("offset")).distinct()
+    first = full.agg(F.min("offset").alias("first"))
+    gaps = full.join(ends, "offset", "left_anti").join(F.broadcast(first), F.col("offset") > F.col("first")).select("offset")
+    twice = full.groupBy("offset").agg(F.count("*").alias("n")).where("n > 1").select("offset")
     empty = entries.where("point_count = 0 and (offset <> 0 or byte_size <> 0)").select("offset")
-    return _rule("chunks contiguous", gaps.select("offset").unionByName(empty))
+    return _rule("chunks contiguous", gaps.unionByName(twice).unionByName(empty))
+
+
+def sample_checks(samples: DataFrame, points: DataFrame) -> DataFrame:
+    """rule, broken of temporal samples(level, x, y, z, place, gps_time) against nodes(level, x, y, z, n)."""
+    node = samples.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("place", "gps_time"))).alias("s"), F.max("place").alias("last"))
+    late = F.exists(F.sequence(F.lit(2), F.size("s")), lambda i: F.element_at("s", i)["gps_time"] < F.element_at("s", i - 1)["gps_time"])
+    sorted_ = node.where((F.size("s") > 1) & late)
+    ends = node.join(points.select(*KEY, "n"), KEY, "left").where("n is null or last <> n - 1")
+    return _rule("samples in time order", sorted_).unionByName(_rule("samples end with the node", ends))

@@ -12,14 +12,10 @@ from stratacloud.sources import layout
 REASONS = ("crs", "point_format", "extra_bytes", "gps_time")
 
 
-def resolve_crs(files: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """files(wkt, epsg_h, epsg_v) with wkt_h, wkt_v and has_crs; a registry(epsg, wkt) gives texts for codes."""
+def resolve_crs(files: DataFrame) -> DataFrame:
+    """files(wkt, epsg_h, epsg_v) with wkt_h, wkt_v and has_crs."""
     h, v = epsg_codes(F.col("wkt"))
-    out = files.withColumns({"wkt_h": h, "wkt_v": v, "has_crs": F.col("wkt").isNotNull() | F.col("epsg_h").isNotNull()})
-    if registry is not None:
-        known = registry.select(F.col("epsg").alias("epsg_h"), F.col("wkt").alias("registry_wkt"))
-        out = out.join(known, "epsg_h", "left").withColumn("registry_wkt", F.when(F.col("wkt").isNull(), F.col("registry_wkt")))
-    return out
+    return files.withColumns({"wkt_h": h, "wkt_v": v, "has_crs": F.col("wkt").isNotNull() | F.col("epsg_h").isNotNull()})
 
 
 def mismatches(files: DataFrame) -> DataFrame:
@@ -83,6 +79,21 @@ def canonical(files: DataFrame) -> DataFrame:
     return first.select("wkt", F.when(named, F.col("codes.epsg_h")).otherwise(h).alias("epsg_h"), F.when(named, F.col("codes.epsg_v")).otherwise(v).alias("epsg_v"), "extra_bytes", "extra_width", "gps_standard")
 
 
+def canonical_crs(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """One row: wkt, epsg_h, vertical_dropped of the merged file.
+
+    The text of the first file that has one; if none has, that which registry(epsg, wkt) gives for the
+    horizontal code of the first file with codes, whose vertical code is dropped.  An unknown code gives no text.
+    """
+    coded = F.when(F.col("epsg_h").isNotNull(), F.col("file_idx"))
+    first = files.agg(
+        F.min_by("wkt", F.when(F.col("wkt").isNotNull(), F.col("file_idx"))).alias("own"), F.min_by(F.struct("epsg_h", "epsg_v"), coded).alias("codes")
+    ).select("own", F.col("codes.epsg_h").alias("epsg_h"), F.col("codes.epsg_v").alias("epsg_v"))
+    known = registry.select(F.col("epsg").alias("epsg_h"), F.col("wkt").alias("text"))
+    found = F.broadcast(first).join(known, "epsg_h", "left")  # one row
+    return found.select(F.coalesce("own", "text").alias("wkt"), "epsg_h", (F.col("own").isNull() & F.col("epsg_v").isNotNull()).alias("vertical_dropped"))
+
+
 def temporal_problem(point_format: int, stride: int) -> str | None:
     """Why a temporal index can't be written, if it can't."""
     if stride <= 0:

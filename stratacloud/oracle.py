@@ -196,6 +196,29 @@ def statements() -> dict[str, str]:
             SELECT chunks, points, least, most, v[i50 + 1] AS p50, v[i90 + 1] AS p90, v[i99 + 1] AS p99, above, double, tiny, empty, points // chunks AS mean,
               CAST(floor(sqrt(CAST((SELECT sum((estimate - points // chunks) * (estimate - points // chunks)) FROM plan) AS DOUBLE) / chunks)) AS BIGINT) AS deviation FROM a""",
         "quality_checks": "SELECT unnest(['unique keys', 'key within its level', 'ancestors present', 'interior nodes hold points', 'root present', 'points conserved', 'points within their nodes', 'chunks contiguous']) AS rule, CAST(0 AS BIGINT) AS broken",
+        "quality_planted": """WITH k AS (SELECT p_partkey AS k, p_size AS s, CAST(p_partkey % 5 AS INTEGER) AS level, 1 << CAST(p_partkey % 5 AS INTEGER) AS side FROM part),
+            v AS (SELECT level, side, k * 7 % (side + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END) AS x, k // 3 % (side + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END) AS y, k // 11 % side AS z, s % 4 AS n FROM k),
+            u AS (SELECT DISTINCT level - 1 AS level, x >> 1 AS x, y >> 1 AS y, z >> 1 AS z FROM v WHERE level > 0),
+            e AS (SELECT k * 100 AS start, 100 + CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END AS size, s % 3 AS points FROM k), w AS (SELECT * FROM e WHERE points > 0),
+            t AS (SELECT k % 40 AS node, k // 40 AS place, k // 40 - CASE WHEN k % 40 = 7 THEN k % 3 * 5 ELSE 0 END AS gps FROM k),
+            g AS (SELECT node, place, gps < lag(gps) OVER (PARTITION BY node ORDER BY place) AS late FROM t)
+            SELECT 'unique keys' AS rule, (SELECT count(*) FROM (SELECT 1 FROM v GROUP BY level, x, y, z HAVING count(*) > 1)) AS broken
+            UNION ALL SELECT 'key within its level', (SELECT count(*) FROM v WHERE x >= side OR y >= side OR z >= side)
+            UNION ALL SELECT 'ancestors present', (SELECT count(*) FROM u ANTI JOIN v USING (level, x, y, z))
+            UNION ALL SELECT 'interior nodes hold points', (SELECT count(*) FROM (SELECT * FROM v WHERE n = 0) SEMI JOIN u USING (level, x, y, z))
+            UNION ALL SELECT 'root present', (SELECT CASE WHEN count(*) <> 1 THEN 1 ELSE 0 END FROM v WHERE level = 0)
+            UNION ALL SELECT 'points conserved', (SELECT CASE WHEN sum(n) <> 12345 THEN 1 ELSE 0 END FROM v)
+            UNION ALL SELECT 'chunks contiguous', (SELECT count(*) FROM w WHERE start > (SELECT min(start) FROM w) AND start NOT IN (SELECT start + size FROM w)) + (SELECT count(*) FROM e WHERE points = 0)
+            UNION ALL SELECT 'samples in time order', (SELECT count(DISTINCT node) FROM g WHERE late)
+            UNION ALL SELECT 'samples end with the node', (SELECT count(*) FROM (SELECT node FROM t GROUP BY node HAVING max(place) <> count(*) - 1 + CASE WHEN node % 9 = 4 THEN 1 ELSE 0 END))""",
+        "plan_vs_actual": f"""WITH {P}, {FRAME}, {cells(3)}, {totals(3)}, {ROOTS}, {PLAN}, k AS ({keyed('p', 9, 'file_idx')}),
+            r AS (SELECT CAST(e.level + e.k AS INTEGER) AS level, CAST(kx >> (9 - e.level - e.k) AS INTEGER) AS x, CAST(ky >> (9 - e.level - e.k) AS INTEGER) AS y, CAST(kz >> (9 - e.level - e.k) AS INTEGER) AS z, count(*) AS n
+                  FROM k JOIN ext e ON kx >> (9 - e.level) = e.x AND ky >> (9 - e.level) = e.y AND kz >> (9 - e.level) = e.z GROUP BY ALL)
+            SELECT level, x, y, z, CAST(coalesce(estimate, 0) AS BIGINT) AS estimate, coalesce(n, 0) AS n, CAST(coalesce(n, 0) - coalesce(estimate, 0) AS BIGINT) AS difference FROM plan FULL JOIN r USING (level, x, y, z)""",
+        "top_children": f"""WITH {P}, {FRAME}, {cells(5)}, {totals(5)}, o AS (SELECT level - 1 AS level, x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, (x & 1) + (y & 1) * 2 + (z & 1) * 4 AS octant, n FROM t WHERE level > 0)
+            SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY level, x, y, z ORDER BY n DESC, octant) = 1""",
+        "registry_crs": """WITH v AS (SELECT s_suppkey AS k, 3000 + s_suppkey % 25 AS epsg_h FROM supplier WHERE s_suppkey % 7 = 5 ORDER BY 1 LIMIT 1)
+            SELECT 'PROJCS["' || n_name || '"]' AS wkt, epsg_h, k % 2 = 1 AS vertical_dropped FROM v LEFT JOIN nation ON 3000 + n_nationkey = epsg_h""",
         "coalesce_ranges": """WITH v AS (SELECT o_custkey % 16 AS file, o_orderkey * 300 AS start, o_orderkey % 5000 + 1 AS length FROM orders),
             e AS (SELECT *, max(start + length) OVER (PARTITION BY file ORDER BY start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
             i AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before + 1024 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY start, length ROWS UNBOUNDED PRECEDING) AS request FROM e)

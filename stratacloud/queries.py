@@ -25,7 +25,7 @@ def quantize_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def octree_keys(spark: SparkSession, d: str) -> DataFrame:
     p = line_points(spark, d, *LINE_ID)
-    return p.select(*LINE_ID, "wx", *keys.point_key(fr.frame_of(p), KEY_DEPTH, counting.world()))
+    return p.select(*LINE_ID, "wx", *keys.point_key(fr.frame_of(p), KEY_DEPTH))
 
 
 def _cells(spark: SparkSession, d: str, depth: int) -> DataFrame:
@@ -53,7 +53,7 @@ def morton_codes(spark: SparkSession, d: str) -> DataFrame:
 def sample_cells(spark: SparkSession, d: str) -> DataFrame:
     p = event_points(spark, d)
     f = fr.frame_of(p)
-    placed = p.select("point_id", *f.quantized(counting.world()), *[k.alias(f"p{a}") for a, k in zip("xyz", keys.point_key(f, 2, counting.world()))]).withColumn("plevel", F.lit(2))
+    placed = p.select("point_id", *f.quantized(counting.world()), *[k.alias(f"p{a}") for a, k in zip("xyz", keys.point_key(f, 2))]).withColumn("plevel", F.lit(2))
     return lod.sample_cells(placed, f).select("point_id", "cell", "code")
 
 
@@ -242,6 +242,41 @@ def quality_checks(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(quality.contiguous_chunks(index.chunk_offsets(nodes, 600, 36)))
 
 
+def quality_planted(spark: SparkSession, d: str) -> DataFrame:
+    """The checks on tables with planted faults of every kind."""
+    k = F.col("p_partkey")
+    level = (k % 5).cast("int")
+    side = F.call_function("shiftleft", F.lit(1), level)
+    wide = side + F.when(k % 13 == 0, 1).otherwise(0)
+    rows = table(spark, d, "part")
+    nodes = rows.select(level.alias("level"), (k * 7 % wide).cast("int").alias("x"), (F.expr("p_partkey div 3") % wide).cast("int").alias("y"), (F.expr("p_partkey div 11") % side).cast("int").alias("z"), (F.col("p_size") % 4).cast("long").alias("n"))
+    entries = rows.select((k * 100).alias("offset"), (100 + F.when(k % 17 == 0, 1).otherwise(0)).cast("long").alias("byte_size"), (F.col("p_size") % 3).cast("long").alias("point_count"))
+    samples = rows.select(
+        F.lit(1).alias("level"), (k % 40).cast("int").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.expr("p_partkey div 40").cast("long").alias("place"),
+        (F.expr("p_partkey div 40") - F.when(k % 40 == 7, k % 3 * 5).otherwise(0)).cast("double").alias("gps_time"),
+    )
+    held = samples.groupBy("level", "x", "y", "z").agg((F.count("*") + F.when(F.col("x") % 9 == 4, 1).otherwise(0)).alias("n"))
+    return quality.node_checks(nodes, 12345).unionByName(quality.contiguous_chunks(entries)).unionByName(quality.sample_checks(samples, held))
+
+
+def plan_vs_actual(spark: SparkSession, d: str) -> DataFrame:
+    p = line_points(spark, d)
+    f = fr.frame_of(p)
+    cells = materialized(counting.grid_counts(p, f, 3), "cells")
+    return planning.planned_and_actual(planning.chunk_plan(cells, 3, CHUNK_TARGET), planning.route_points(p, f, 3, CHUNK_TARGET, 9, cells))
+
+
+def top_children(spark: SparkSession, d: str) -> DataFrame:
+    return inspect.top_children(counting.level_totals(_cells(spark, d, GRID_DEPTH), GRID_DEPTH))
+
+
+def registry_crs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    files = table(spark, d, "supplier").select(k.alias("file_idx"), F.lit(None).cast("string").alias("wkt"), F.when(k % 7 == 5, 3000 + k % 25).alias("epsg_h"), F.when(k % 2 == 1, 5613).alias("epsg_v"))
+    registry = table(spark, d, "nation").select((3000 + F.col("n_nationkey")).alias("epsg"), F.concat(F.lit('PROJCS["'), "n_name", F.lit('"]')).alias("wkt"))
+    return validate.canonical_crs(files, registry)
+
+
 def coalesce_ranges(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select((F.col("o_custkey") % 16).alias("file"), (F.col("o_orderkey") * 300).alias("start"), (F.col("o_orderkey") % 5000 + 1).alias("length"))
     return ranges.coalesce_ranges(rows)
@@ -305,5 +340,5 @@ ALL = [
     bounds_frame, header_mismatch, validate_files, schema_diff, stat_merge, grid_counts, level_rollup, chunk_plan, chunk_routing, leaf_level_summary,
     leaf_nodes, leaf_assign, lod_points, lod_nodes, temporal_samples, temporal_pages, hierarchy_offsets, hierarchy_pages, return_histogram, level_stats,
     file_stats, compare_ab, time_histogram, time_coverage, sample_density, chunk_size_report, quality_checks, coalesce_ranges, bbox_query, time_range_query,
-    lod_query, epsg_parse, planner_sizes, parse_sizes, header_dates, gps_sorted,
+    lod_query, quality_planted, plan_vs_actual, top_children, registry_crs, epsg_parse, planner_sizes, parse_sizes, header_dates, gps_sorted,
 ]

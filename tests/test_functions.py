@@ -29,7 +29,7 @@ def test_cells_on_and_beside_split_planes(spark, center, half):
     values += [center - half, center + half, center - 2 * half, center + 2 * half]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for depth in (0, 1, 7, 12, 20):
-        got = [r.k for r in df.select(keys.cell_index(F.col("v"), center, half, depth).alias("k")).collect()]
+        got = [r.k for r in df.select(keys.cell_index("v", center, half, depth).alias("k")).collect()]
         assert got == [bisect(v, center, half, depth) for v in values]
 
 
@@ -82,3 +82,23 @@ def test_codes_of_five_digits(spark):
     assert tuple(spark.range(1).select(h, v).first()) == (32633, 5703)
     names = spark.range(1).select(las.field_names(F.array(F.lit("a"), F.lit(""), F.lit("b")))).first()[0]
     assert names == "a, <unnamed>, b"
+
+
+def test_sizes_beyond_32_bits_fail(spark):
+    from stratacloud.operators.index import chunk_offsets
+
+    nodes = spark.createDataFrame([(0, 0, 0, 0, 10), (1, 0, 0, 0, 2**31 // 30 + 1)], "level int, x int, y int, z int, n long")
+    with pytest.raises(Exception, match="more than 2147483647"):
+        chunk_offsets(nodes, 600, 30).collect()
+    assert chunk_offsets(nodes.where("n = 10"), 600, 30).first()["byte_size"] == 300
+
+
+def test_join_of_many_cells_has_no_hot_key(spark, monkeypatch):
+    from stratacloud.operators import joins
+
+    points = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id") % 50).alias("k"), "id")
+    cells = points.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    want = sorted(map(tuple, joins.cell_join(points, cells, ["k"], "n").collect()))
+    monkeypatch.setattr(joins, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(joins, "HOT_CELLS", 4)
+    assert sorted(map(tuple, joins.cell_join(points, cells, ["k"], "n").collect())) == want and len(want) == 3000
