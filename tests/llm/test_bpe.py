@@ -26,6 +26,8 @@ def test_encode_and_decode_equal_the_library(spark, sf_dir):
 
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
-    word_bpe = bpe.load.__wrapped__(tokenizer_path(bpe.VOCABULARY))
+    word_bpe = bpe.load(tokenizer_path(bpe.VOCABULARY))
     assert len(word_bpe.encode("one two three four five six")) >= 6
-    assert len(word_bpe.memo) <= 3
+    assert len(word_bpe.memo) <= 3 and len(word_bpe.memo.older) <= 3
+    word_bpe.encode("x" * 5000)
+    assert all(len(w) <= bpe.MEMO_CHARS for w in [*word_bpe.memo, *word_bpe.memo.older])
