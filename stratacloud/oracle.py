@@ -211,6 +211,19 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT 'chunks contiguous', (SELECT count(*) FROM w WHERE start > (SELECT min(start) FROM w) AND start NOT IN (SELECT start + size FROM w)) + (SELECT count(*) FROM e WHERE points = 0)
             UNION ALL SELECT 'samples in time order', (SELECT count(DISTINCT node) FROM g WHERE late)
             UNION ALL SELECT 'samples end with the node', (SELECT count(*) FROM (SELECT node FROM t GROUP BY node HAVING max(place) <> count(*) - 1 + CASE WHEN node % 9 = 4 THEN 1 ELSE 0 END))""",
+        "page_rules": """WITH g AS (SELECT p_partkey AS k, p_partkey * 96 AS start, 32 * (1 + p_partkey % 3) + CASE WHEN p_partkey % 23 = 0 THEN 8 ELSE 0 END + CASE WHEN p_partkey % 101 = 0 THEN 320 ELSE 0 END AS size, p_size FROM part),
+            n AS (SELECT *, max(start + size) OVER (ORDER BY start, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g)
+            SELECT 'pages of whole entries' AS rule, (SELECT count(*) FROM g WHERE size % 32 <> 0) AS broken
+            UNION ALL SELECT 'pages within the record', (SELECT count(*) FROM g WHERE start < 960 OR start + size > 17280)
+            UNION ALL SELECT 'pages apart', (SELECT count(*) FROM n WHERE before > start)
+            UNION ALL SELECT 'pointers resolve', (SELECT count(*) FROM g WHERE k % 3 = 0 AND (k, p_size + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) NOT IN (SELECT (k, p_size) FROM g))""",
+        "summary_rules": """WITH f AS (SELECT l_suppkey % 64 AS i, min(l_partkey) AS low, max(l_partkey) AS high, min(l_suppkey) AS low_y, max(l_suppkey) AS high_y, min(l_orderkey) AS low_z, max(l_orderkey) AS high_z FROM lineitem GROUP BY ALL),
+            d AS (SELECT *, low - CASE WHEN i % 7 = 1 THEN 0.5 ELSE 0 END AS told, high_z + 30000 - CASE WHEN i % 4 = 1 THEN 29500 ELSE 0 END AS half FROM f)
+            SELECT 'points counted' AS rule, count(*) FILTER (i % 5 = 1) AS broken FROM d
+            UNION ALL SELECT 'bounds agree', count(*) FILTER (i % 7 = 1) FROM d
+            UNION ALL SELECT 'cube holds bounds', count(*) FILTER (told < 30000 - half OR high > 30000 + half OR low_y < -half OR high_y > half OR low_z < -half OR high_z > half) FROM d
+            UNION ALL SELECT 'time range agrees', count(*) FILTER (i % 13 = 1) FROM d
+            UNION ALL SELECT 'returns agree', count(*) FILTER (i % 3 = 1) FROM d""",
         "plan_vs_actual": f"""WITH {P}, {FRAME}, {cells(3)}, {totals(3)}, {ROOTS}, {PLAN}, k AS ({keyed('p', 9, 'file_idx')}),
             r AS (SELECT CAST(e.level + e.k AS INTEGER) AS level, CAST(kx >> (9 - e.level - e.k) AS INTEGER) AS x, CAST(ky >> (9 - e.level - e.k) AS INTEGER) AS y, CAST(kz >> (9 - e.level - e.k) AS INTEGER) AS z, count(*) AS n
                   FROM k JOIN ext e ON kx >> (9 - e.level) = e.x AND ky >> (9 - e.level) = e.y AND kz >> (9 - e.level) = e.z GROUP BY ALL)

@@ -259,6 +259,35 @@ def quality_planted(spark: SparkSession, d: str) -> DataFrame:
     return quality.node_checks(nodes, 12345).unionByName(quality.contiguous_chunks(entries)).unionByName(quality.sample_checks(samples, held))
 
 
+def page_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of hierarchy pages on tables with planted faults."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part")
+    size = 32 * (1 + k % 3) + F.when(k % 23 == 0, 8).otherwise(0) + F.when(k % 101 == 0, 320).otherwise(0)
+    pages = rows.select((k * 96).alias("offset"), size.cast("long").alias("byte_size"))
+    nodes = rows.select((k % 9).cast("int").alias("level"), k.cast("int").alias("x"), F.col("p_size").cast("int").alias("y"), F.lit(0).alias("z"))
+    pointers = rows.where(k % 3 == 0).select((k % 9).cast("int").alias("level"), k.cast("int").alias("x"), (F.col("p_size") + F.when(k % 7 == 0, 1).otherwise(0)).cast("int").alias("y"), F.lit(0).alias("z"))
+    return quality.page_checks(pages, pointers, nodes, 960, 96 * 180)
+
+
+def summary_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of declared bounds, times and returns, on files with planted faults."""
+    i = F.col("l_suppkey") % 64
+    columns = {"wx": F.col("l_partkey"), "wy": F.col("l_suppkey"), "wz": F.col("l_orderkey"), "gps_time": F.col("l_quantity")}
+    points = table(spark, d, "lineitem").select(i.alias("file_idx"), *[c.cast("double").alias(n) for n, c in columns.items()], F.col("l_linenumber").alias("return_number"))
+    held = points.groupBy("file_idx").agg(
+        F.count("*").alias("n"), *[f(f"w{a}").alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))], F.min("gps_time").alias("gps_min"), F.max("gps_time").alias("gps_max"),
+        F.array(*[F.count_if(F.col("return_number") == r) for r in range(1, 16)]).alias("counts"),
+    )
+    slip = lambda step, by: F.when(F.col("file_idx") % step == 1, by).otherwise(0)
+    declared = held.select(
+        "file_idx", (F.col("n") + slip(5, 1)).alias("points"), (F.col("min_x") - slip(7, 0.5)).alias("min_x"), (F.col("max_x") + slip(11, 1e-9)).alias("max_x"), "min_y", "max_y", "min_z", "max_z",
+        F.col("gps_min"), (F.col("gps_max") + slip(13, 1.0)).alias("gps_max"), F.transform("counts", lambda c, at: F.when(at == 1, c + slip(3, 2)).otherwise(c).cast("long")).alias("returns"),
+        F.lit(0.01).alias("scale"), F.lit(30000.0).alias("center_x"), F.lit(0.0).alias("center_y"), F.lit(0.0).alias("center_z"), (F.col("max_z") + 30000 - slip(4, 29500)).cast("double").alias("half"),
+    )
+    return quality.summary_checks(points, declared)
+
+
 def plan_vs_actual(spark: SparkSession, d: str) -> DataFrame:
     p = line_points(spark, d)
     f = fr.frame_of(p)
@@ -340,5 +369,5 @@ ALL = [
     bounds_frame, header_mismatch, validate_files, schema_diff, stat_merge, grid_counts, level_rollup, chunk_plan, chunk_routing, leaf_level_summary,
     leaf_nodes, leaf_assign, lod_points, lod_nodes, temporal_samples, temporal_pages, hierarchy_offsets, hierarchy_pages, return_histogram, level_stats,
     file_stats, compare_ab, time_histogram, time_coverage, sample_density, chunk_size_report, quality_checks, coalesce_ranges, bbox_query, time_range_query,
-    lod_query, quality_planted, plan_vs_actual, top_children, registry_crs, epsg_parse, planner_sizes, parse_sizes, header_dates, gps_sorted,
+    lod_query, quality_planted, page_rules, summary_rules, plan_vs_actual, top_children, registry_crs, epsg_parse, planner_sizes, parse_sizes, header_dates, gps_sorted,
 ]
