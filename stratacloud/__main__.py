@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from stratacloud import memory
 from stratacloud.functions import sizing
 from stratacloud.operators import inspect
 from stratacloud.plans import observer, pipeline
@@ -17,12 +18,12 @@ def main() -> None:
     parser.add_argument("what", choices=["convert", "preview", "inspect"])
     parser.add_argument("source")
     parser.add_argument("target", nargs="?")
-    parser.add_argument("--memory-limit", default="16Gi")
+    parser.add_argument("--memory-limit", help="such as 16Gi; without it, the limit found on this machine")
     parser.add_argument("--temporal-stride", type=int)
     parser.add_argument("--progress", choices=["plain", "json", "none"], default="plain")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("stratacloud").getOrCreate()
-    limit = spark.range(1).select(sizing.parse_size(F.lit(args.memory_limit)).alias("n")).first()["n"]
+    limit = spark.range(1).select(sizing.parse_size(F.lit(args.memory_limit)).alias("n")).first()["n"] if args.memory_limit else memory.detect()
     watcher = {"plain": observer.Plain, "json": observer.JsonLines, "none": observer.Silent}[args.progress]()
     config = pipeline.with_budget(pipeline.Config(temporal_stride=args.temporal_stride, observer=watcher), limit)
     if args.what == "convert":

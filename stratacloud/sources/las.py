@@ -1,15 +1,15 @@
 """LAS files as Spark data sources: header table, point table, and a writer.
 
 Point records have a fixed width, so a file splits at any record; a split reads its bytes,
-decodes all columns at once and yields Arrow batches.  Compressed files (LAZ) need a codec,
-which is looked for when one is met; without it the read fails with a clear message, and
-never returns part of the points.
+decodes all columns at once and yields Arrow batches.  Compressed files (LAZ) need a codec and
+none is installed: the read fails with a clear message, and never returns part of the points.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from stratacloud.sources.bytes import open_bytes
 EXTENSIONS = (".las", ".laz", ".LAS", ".LAZ")
 #: Points in a split, and in an Arrow batch.
 SPLIT_POINTS, BATCH_POINTS = 2_000_000, 100_000
+#: Headers that the planning of a read fetches at a time.
+HEADERS_AT_ONCE = 32
 
 HEADER_SCHEMA = (
     "file_idx int, path string, point_count long, point_format int, record_length int, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double, "
@@ -127,13 +129,15 @@ class _PointReader(DataSourceReader):
         self.path, self.split = path, split
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for i, path in enumerate(collect_input_files(self.path)):
-            h = read_header(path)
-            if h.compressed:
-                raise UnsupportedInput(f"{path} is LAZ compressed and no LAZ codec is installed")
-            out += [_File(i, path, s, min(self.split, h.points - s)) for s in range(0, h.points, self.split)]
-        return out or [_File(0, "", 0, 0)]
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+            parts = [part for found in pool.map(self._splits, *zip(*enumerate(collect_input_files(self.path)))) for part in found]
+        return parts or [_File(0, "", 0, 0)]
+
+    def _splits(self, index: int, path: str) -> list[InputPartition]:
+        h = read_header(path)
+        if h.compressed:
+            raise UnsupportedInput(f"{path} is LAZ compressed and no LAZ codec is installed")
+        return [_File(index, path, s, min(self.split, h.points - s)) for s in range(0, h.points, self.split)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if not partition.count:
@@ -193,14 +197,17 @@ class _Fragment(WriterCommitMessage):
 
 
 class _LasWriter(DataSourceArrowWriter):
-    """Each task writes its records beside the target; the commit joins them under one header.
+    """One file, or a folder of tiles if the path doesn't end in .las.
 
-    The target folder must be one that the driver and the executors share.  Options: path,
-    pointFormat, scale, offset, extraBytes, gpsStandard, wkt.
+    For a folder every task writes a whole file of its own, under a name that readers pass over until
+    the commit renames it: nothing is copied.  For one file the commit joins the records of
+    the tasks on the driver.  The target must be a folder that the driver and the executors
+    share.  Options: path, pointFormat, scale, offset, extraBytes, gpsStandard, wkt.
     """
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
+        self.tiles = not self.path.lower().endswith(".las")
         self.format = int(options.get("pointformat", 7))
         self.scale = tuple(map(float, options.get("scale", "0.01,0.01,0.01").split(",")))
         self.offset = tuple(map(float, options.get("offset", "0,0,0").split(",")))
@@ -210,9 +217,14 @@ class _LasWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Fragment:
         from pyspark import TaskContext
 
-        part = f"{self.path}.part-{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
+        name = f"part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}"
+        if self.tiles:
+            os.makedirs(self.path, exist_ok=True)
+        part = f"{self.path}/{name}.las.tmp" if self.tiles else f"{self.path}.{name}"
         stats = {"n": 0, "low": [np.inf] * 3, "high": [-np.inf] * 3, "returns": [0] * 15}
         with open(part, "wb") as f:
+            if self.tiles:
+                f.write(self._head([]))
             for batch in batches:
                 r = encode(batch, self.format, self.scale, self.offset, self.extra)
                 f.write(r.tobytes())
@@ -222,11 +234,14 @@ class _LasWriter(DataSourceArrowWriter):
                     stats["high"] = [max(v, int(r[a].max())) for v, a in zip(stats["high"], "xyz")]
                     counts = np.bincount(r["b14"] & 15, minlength=16)[1:]
                     stats["returns"] = [int(a + b) for a, b in zip(stats["returns"], counts)]
+            if self.tiles:
+                f.seek(0)
+                f.write(self._head([stats]))
         return _Fragment(part, stats)
 
-    def commit(self, messages: list[_Fragment | None]) -> None:
-        parts = [m for m in messages if m is not None]
-        full = [m.stats for m in parts if m.stats["n"]]
+    def _head(self, parts: list[dict]) -> bytes:
+        """Header and variable-length records, of the same length whatever the parts."""
+        full = [s for s in parts if s["n"]]
         world = lambda values, f: tuple(float(f(v)) * s + o for v, s, o in zip(zip(*values), self.scale, self.offset)) if values else (0.0,) * 3
         vlrs = layout.pack_vlr("LASF_Projection", 2112, self.wkt.encode() + b"\0") if self.wkt else b""
         length = np.dtype(layout.FIELDS[self.format]).itemsize + self.extra
@@ -235,8 +250,21 @@ class _LasWriter(DataSourceArrowWriter):
             points=sum(s["n"] for s in full), scale=self.scale, offset=self.offset, low=world([s["low"] for s in full], min), high=world([s["high"] for s in full], max),
             returns=tuple(map(sum, zip(*[s["returns"] for s in full]))) if full else (0,) * 15,
         )
+        return layout.pack_header(h) + vlrs
+
+    def commit(self, messages: list[_Fragment | None]) -> None:
+        parts = [m for m in messages if m is not None]
+        if self.tiles:
+            # tasks without points leave no tile, unless none has any
+            kept = [m for m in parts if m.stats["n"]] or parts[:1]
+            for m in parts:
+                if not m.stats["n"] and m is not kept[0]:
+                    os.remove(m.path)
+            for m in kept:
+                os.replace(m.path, m.path.removesuffix(".tmp"))
+            return
         with open(f"{self.path}.tmp", "wb") as out:
-            out.write(layout.pack_header(h) + vlrs)
+            out.write(self._head([m.stats for m in parts]))
             for m in parts:
                 with open(m.path, "rb") as f:
                     while block := f.read(1 << 24):

@@ -48,6 +48,21 @@ def test_write_and_read(spark, tile):
         las.collect_input_files(str(tile.parent))
 
 
+def test_folder_of_tiles(spark, tile, tmp_path):
+    points = spark.read.format("las").load(str(tile))
+    for name, rows in (("all", points.repartition(4, "gps_time")), ("gaps", points.where("file_idx = 0")), ("none", points.where("file_idx > 9"))):
+        folder = tmp_path / name
+        rows.write.format("las").mode("append").option("path", str(folder)).option("wkt", WKT).option("extraBytes", 3).save()
+        assert all(p.name.endswith(".las") for p in folder.iterdir())
+        back = spark.read.format("las").load(str(folder))
+        own = ["wx", "wy", "wz", "gps_time", "return_number", "classification", "flags", "red", "extras"]
+        assert sorted(map(tuple, back.select(*own).collect())) == sorted(map(tuple, rows.select(*own).collect()))
+        files = spark.read.format("las_header").load(str(folder))
+        held = back.groupBy("file_idx").agg(F.count("*").alias("n"), F.min("wx").alias("low"), F.max("wz").alias("high"))
+        wrong = held.join(files, "file_idx").where("n <> point_count or abs(low - min_x) > 1e-9 or abs(high - max_z) > 1e-9 or wkt is null")
+        assert wrong.count() == 0 and files.count() == {"all": 4, "gaps": 1, "none": 1}[name]
+
+
 def test_convert_checks_and_invariance(spark, tile, tmp_path):
     lines = []
     watcher = type("Watcher", (), {"event": lambda self, *a, **k: lines.append(a)})()
