@@ -11,8 +11,6 @@ KEY = ["level", "x", "y", "z"]
 PAGE_STEP = 3
 ENTRY_BYTES = 32
 TEMPORAL_HEADER, TEMPORAL_POINTER, TEMPORAL_ENTRY = 32, 48, 20
-#: Offsets are running sums over nodes in key order, in two steps: within ranges of keys, then over the ranges.
-RANGES = 64
 
 
 def gps_order(points: DataFrame, id_col: str = "point_id") -> DataFrame:
@@ -37,12 +35,13 @@ def temporal_entries(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*KEY).agg(ordered.alias("samples"))
 
 
-def running_offsets(rows: DataFrame, size: str, order: list[str], start: int, ranges: int = RANGES) -> DataFrame:
+def running_offsets(rows: DataFrame, size: str, order: list[str], start: int, ranges: int | None = None) -> DataFrame:
     """rows with `offset`: start plus the sizes of all rows before, in `order`.
 
-    Ranges of the order are summed apart and only one number for each range goes through a
-    single task, so no task sees all rows.
+    Ranges of the order, by default as many as the session has shuffle partitions, are summed apart
+    and only one number for each range goes through a single task, so no task sees all rows.
     """
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written once: both uses below must see the same ranges, also after a lost executor
     ranged = materialized(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
