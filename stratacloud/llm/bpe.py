@@ -9,11 +9,12 @@ file without a decoder.
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ from stratacloud.llm._text import frugal, resident
 VOCABULARY = "word_bpe_49k.json"
 #: The memo holds two generations of at most so many words, none longer than `MEMO_CHARS`, so at most about 45 MB.
 MEMO_WORDS, MEMO_CHARS = 3 << 15, 48
+#: Bits of an id in a pair, and of a position in an entry of the queue.
+ID_BITS, PLACE_BITS = 32, 32
+PLACE_MASK = (1 << PLACE_BITS) - 1
 #: Texts are encoded in runs of about so many characters, so that a batch's tokens stay few.
 RUN_CHARS = 1 << 20
 
@@ -43,12 +47,15 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """Results by word, in two generations: once the younger one is full, the older one goes."""
+    """make(word) by word, in two generations: once the younger one is full, the older one goes."""
 
-    def __init__(self) -> None:
-        self.older: dict = {}
+    def __init__(self, make: Callable) -> None:
+        self.make, self.older = make, {}
 
-    def keep(self, word: str, found):
+    def __missing__(self, word: str):
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self.older = dict(self)
@@ -64,69 +71,74 @@ class WordBpe:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids = model["vocab"]
-        self.tokens = {i: t for t, i in self.ids.items()}
-        self.merges = {}
+        # by both ids in one number: the merge rank; by rank: both ids and the one they make
+        self.ranks, self.made = {}, []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+            left, right = self.ids[a], self.ids[b]
+            self.ranks[left << ID_BITS | right] = rank
+            self.made.append((left, right, self.ids[a + b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: t for t, i in self.special.items()}
+        tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.tokens = np.array([tokens.get(i) for i in range(max(tokens, default=-1) + 1)], object)
+        self.known = np.array([t is not None for t in self.tokens], bool)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
-        self.letters = byte_letters()
-        self.memo = Memo()
+        letters = byte_letters()
+        self.inner, self.last = [self.ids.get(x) for x in letters], [self.ids.get(x + self.suffix) for x in letters]
+        self.memo = Memo(lambda word: array("i", self.merge(word)).tobytes())
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one word."""
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.suffix
-        symbols = [i for i in map(self.ids.get, letters) if i is not None]
+        data, ranks, made = word.encode(), self.ranks.get, self.made
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        if None in symbols:
+            symbols = [i for i in symbols if i is not None]
         n = len(symbols)
+        # an entry is a merge rank and, in its low bits, the position of the left symbol
+        queue = [rank << PLACE_BITS | at for at, (a, b) in enumerate(pairwise(symbols)) if (rank := ranks(a << ID_BITS | b)) is not None]
+        if not queue:
+            return tuple(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for at in range(n - 1):
-            if found := self.merges.get((symbols[at], symbols[at + 1])):
-                queue.append((found[0], at, found[1], symbols[at], symbols[at + 1]))
-        heapq.heapify(queue)
+        heapify(queue)
         while queue:
-            _, at, made, left, right = heapq.heappop(queue)
+            entry = heappop(queue)
+            at = entry & PLACE_MASK
+            left, right, new = made[entry >> PLACE_BITS]
             follow = after[at]
             if symbols[at] != left or follow < 0 or symbols[follow] != right:
                 continue  # a symbol of the pair is gone
-            symbols[at], symbols[follow] = made, -1
-            after[at] = after[follow]
-            if after[at] >= 0:
-                before[after[at]] = at
-            for x, y in ((before[at], at), (at, after[at])):
-                if x >= 0 and y >= 0 and (found := self.merges.get((symbols[x], symbols[y]))):
-                    heapq.heappush(queue, (found[0], x, found[1], symbols[x], symbols[y]))
-        return tuple(i for i in symbols if i >= 0)
-
-    def pieces(self, text: str) -> list[tuple[int, ...]]:
-        """Ids of a text, word by word."""
-        out: list[tuple[int, ...]] = []
+            symbols[at], symbols[follow] = new, -1
+            after[at] = beyond = after[follow]
+            if beyond >= 0:
+                before[beyond] = at
+                if (rank := ranks(new << ID_BITS | symbols[beyond])) is not None:
+                    heappush(queue, rank << PLACE_BITS | at)
+            if (prior := before[at]) >= 0 and (rank := ranks(symbols[prior] << ID_BITS | new)) is not None:
+                heappush(queue, rank << PLACE_BITS | prior)
+        return tuple([i for i in symbols if i >= 0])
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, 4 bytes each."""
+        out: list[bytes] = []
         for part in self.splitter.split(text) if self.splitter else [text]:
             if part in self.special:
-                out.append((self.special[part],))
+                out.append(array("i", [self.special[part]]).tobytes())
                 continue
             # one character at a time, as the library lowers: no final sigma
             words = self.words(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
             memo = self.memo
-            try:
-                out.extend([memo[w] for w in words])
-            except KeyError:
-                for w in words:
-                    if (ids := memo.get(w)) is None:
-                        ids = memo.keep(w, memo.older.get(w) or self.merge(w))
-                    out.append(ids)
-        return out
+            out.extend([memo[w] for w in words])
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.pieces(text)))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
+    def decode(self, ids: np.ndarray) -> str:
+        ids = ids[(ids >= 0) & (ids < len(self.tokens))]
+        return " ".join(self.tokens[ids[self.known[ids]]].tolist())
 
 
 def load(path: str) -> WordBpe:
@@ -160,12 +172,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, decode_too: bool = Fal
         for batch in batches:
             at = 0
             for texts in _runs(batch.column("text")):
-                found = [bpe.pieces(t) for t in texts]
-                ids = [np.fromiter(chain.from_iterable(p), np.int32) for p in found]
+                ids = [np.frombuffer(bpe.packed(t), np.int32) for t in texts]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 columns = [batch.column("doc_id").slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
                 if decode_too:
-                    columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
+                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
                 at += len(texts)
 
@@ -176,13 +187,13 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, decode_too: bool = Fal
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and decoded text of (doc_id, ids): vocabulary strings, special ones too, joined by a space.
 
-    Null or empty ids give an empty text; ids outside the vocabulary are left out, as in the library.
+    Null or empty ids give an empty text; null ids and those outside the vocabulary are left out, as in the library.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = resident(load, tokenizer_path(vocabulary))
         for batch in batches:
-            texts = [bpe.decode(x.as_py() or []) for x in batch.column("ids")]
+            texts = [bpe.decode(np.array([i for i in x.as_py() or [] if i is not None], np.int64)) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()

@@ -47,7 +47,7 @@ class CountOnlyViterbi:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
-        self.memo = Memo()
+        self.memo = Memo(self.marked)
 
     def word(self, word: str) -> int:
         """Pieces of the best segmentation of a word that carries its mark.
@@ -86,16 +86,8 @@ class CountOnlyViterbi:
         return sum(self.word(m[0]) for m in MARKED.finditer(word if word[0] == MARK else MARK + word))
 
     def text(self, text: str) -> int:
-        total, memo = 0, self.memo
-        words = text.split()
-        try:
-            return sum([memo[w] for w in words])
-        except KeyError:
-            for w in words:
-                if (n := memo.get(w)) is None:
-                    n = memo.keep(w, memo.older.get(w) or self.marked(w))
-                total += n
-            return total
+        memo = self.memo
+        return sum([memo[w] for w in text.split()])
 
 
 def load(path: str) -> CountOnlyViterbi:

@@ -24,6 +24,13 @@ def test_encode_and_decode_equal_the_library(spark, sf_dir):
         assert got[i].decoded == again[i] == library.decode(ids, skip_special_tokens=False)
 
 
+def test_decode_leaves_out_unknown_ids(spark):
+    rows = [(1, [320, -1, None, 10**6, 321]), (2, []), (3, None)]
+    got = {r.doc_id: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    library = Tokenizer.from_file(tokenizer_path(bpe.VOCABULARY))
+    assert got == {1: library.decode([320, 10**6, 321], skip_special_tokens=False), 2: "", 3: ""}
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
     word_bpe = bpe.load(tokenizer_path(bpe.VOCABULARY))
