@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,12 +69,20 @@ def fit_frame(low: tuple, high: tuple, scale: tuple, offset: tuple) -> Frame:
     return Frame(scale, offset, center, half)
 
 
-def frame_of(points: DataFrame, scale: tuple = (0.01, 0.01, 0.01), offset: tuple = (0.0, 0.0, 0.0)) -> Frame:
-    """Frame of a table of world positions: one aggregate, one row to the driver."""
+def frame_of(points: DataFrame, scale: tuple = (0.01, 0.01, 0.01), offset: tuple = (0.0, 0.0, 0.0), pad: float | None = None) -> Frame:
+    """Frame of a table of world positions: one aggregate, one row to the driver.
+
+    The cube is padded by `pad`, by default the largest step of the fitted scale, which grows with wide data.
+    """
     row = bounds(points).first()
     if not row["n"] or row["min_x"] is None or row["min_y"] is None or row["min_z"] is None:
         return Frame(scale, offset, (0.0, 0.0, 0.0), max(scale))
-    return fit_frame(tuple(row[f"min_{a}"] for a in "xyz"), tuple(row[f"max_{a}"] for a in "xyz"), scale, offset)
+    low, high = (tuple(row[f"{n}_{a}"] for a in "xyz") for n in ("min", "max"))
+    frame = fit_frame(low, high, scale, offset)
+    if pad is None:
+        return frame
+    center, half = cube(low, high, (pad,))
+    return replace(frame, center=center, half=half)
 
 
 def needs_refit(frame: Frame, low: tuple, high: tuple) -> bool:

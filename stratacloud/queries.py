@@ -15,6 +15,12 @@ KEY_DEPTH, GRID_DEPTH, CHUNK_TARGET = 12, 5, 200
 LEAF, LEAF_CAP, FINE_LEAF = 1000, 8, 20
 LOD_LEAF, LOD_CELLS = 500, 8
 STRIDE = 10
+PAD = 0.01
+
+
+def _frame(p: DataFrame) -> fr.Frame:
+    """Frame of a view; its cube is padded by PAD as in the SQL, also where the integers need a coarser step."""
+    return fr.frame_of(p, pad=PAD)
 
 
 def quantize_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -25,12 +31,12 @@ def quantize_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def octree_keys(spark: SparkSession, d: str) -> DataFrame:
     p = line_points(spark, d, *LINE_ID)
-    return p.select(*LINE_ID, "wx", *keys.point_key(fr.frame_of(p), KEY_DEPTH))
+    return p.select(*LINE_ID, "wx", *keys.point_key(_frame(p), KEY_DEPTH))
 
 
 def _cells(spark: SparkSession, d: str, depth: int) -> DataFrame:
     p = line_points(spark, d)
-    return counting.grid_counts(p, fr.frame_of(p), depth)
+    return counting.grid_counts(p, _frame(p), depth)
 
 
 def key_ancestors(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +58,7 @@ def morton_codes(spark: SparkSession, d: str) -> DataFrame:
 
 def sample_cells(spark: SparkSession, d: str) -> DataFrame:
     p = event_points(spark, d)
-    f = fr.frame_of(p)
+    f = _frame(p)
     placed = p.select("point_id", *f.quantized(counting.world()), *[k.alias(f"p{a}") for a, k in zip("xyz", keys.point_key(f, 2))]).withColumn("plevel", F.lit(2))
     return lod.sample_cells(placed, f).select("point_id", "cell", "code")
 
@@ -84,7 +90,7 @@ def first_payload(spark: SparkSession, d: str) -> DataFrame:
 def bounds_frame(spark: SparkSession, d: str) -> DataFrame:
     p = line_points(spark, d)
     row = fr.bounds(p)
-    f = fr.frame_of(p)
+    f = _frame(p)
     low_high = row.first()
     refit = fr.needs_refit(f, tuple(low_high[f"min_{a}"] for a in "xyz"), tuple(low_high[f"max_{a}"] / 2 for a in "xyz"))
     return row.select("*", *[F.lit(c).alias(f"c{a}") for a, c in zip("xyz", f.center)], F.lit(f.half).alias("half"), F.lit(refit).alias("refit"))
@@ -136,13 +142,13 @@ def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_routing(spark: SparkSession, d: str) -> DataFrame:
     p = line_points(spark, d)
-    routed = planning.route_points(p, fr.frame_of(p), 3, CHUNK_TARGET, 9)
+    routed = planning.route_points(p, _frame(p), 3, CHUNK_TARGET, 9)
     return routed.groupBy("chunk_level", "cx", "cy", "cz").agg(F.count("*").alias("n"))
 
 
 def _leaf_nodes(spark: SparkSession, d: str, leaf: int = LEAF) -> DataFrame:
     p = line_points(spark, d)
-    return leaves.leaf_nodes(leaves.leaf_cells(p, fr.frame_of(p), leaf, LEAF_CAP))
+    return leaves.leaf_nodes(leaves.leaf_cells(p, _frame(p), leaf, LEAF_CAP))
 
 
 def leaf_level_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -155,12 +161,12 @@ def leaf_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def leaf_assign(spark: SparkSession, d: str) -> DataFrame:
     p = event_points(spark, d)
-    return leaves.assign_leaves(p, fr.frame_of(p), LOD_LEAF, LEAF_CAP).select("point_id", "level", "kx", "ky", "kz")
+    return leaves.assign_leaves(p, _frame(p), LOD_LEAF, LEAF_CAP).select("point_id", "level", "kx", "ky", "kz")
 
 
 def _lod(spark: SparkSession, d: str) -> DataFrame:
     p = event_points(spark, d)
-    f = fr.frame_of(p)
+    f = _frame(p)
     placed = materialized(leaves.assign_leaves(p, f, LOD_LEAF, LEAF_CAP).select("point_id", "level", "kx", "ky", "kz", *f.quantized(counting.world())), "leaves")
     deepest = placed.agg(F.max("level")).first()[0] or 0
     return lod.thin(placed, f, deepest, LOD_CELLS)
@@ -176,7 +182,7 @@ def lod_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     p = event_points(spark, d)
-    return index.temporal_samples(leaves.assign_leaves(p, fr.frame_of(p), FINE_LEAF, LEAF_CAP), STRIDE)
+    return index.temporal_samples(leaves.assign_leaves(p, _frame(p), FINE_LEAF, LEAF_CAP), STRIDE)
 
 
 def temporal_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +207,7 @@ def hierarchy_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def return_histogram(spark: SparkSession, d: str) -> DataFrame:
     p = line_points(spark, d, "return_number", "gps_time")
-    return inspect.return_histogram(leaves.assign_leaves(p, fr.frame_of(p), LEAF, LEAF_CAP))
+    return inspect.return_histogram(leaves.assign_leaves(p, _frame(p), LEAF, LEAF_CAP))
 
 
 def level_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +240,7 @@ def chunk_size_report(spark: SparkSession, d: str) -> DataFrame:
 
 def quality_checks(spark: SparkSession, d: str) -> DataFrame:
     p = event_points(spark, d)
-    f = fr.frame_of(p)
+    f = _frame(p)
     thin = materialized(_lod(spark, d), "thin")
     nodes = materialized(lod.node_table(thin), "nodes")
     at = thin.join(p.select("point_id", "wx", "wy", "wz"), "point_id")
@@ -290,7 +296,7 @@ def summary_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def plan_vs_actual(spark: SparkSession, d: str) -> DataFrame:
     p = line_points(spark, d)
-    f = fr.frame_of(p)
+    f = _frame(p)
     cells = materialized(counting.grid_counts(p, f, 3), "cells")
     return planning.planned_and_actual(planning.chunk_plan(cells, 3, CHUNK_TARGET), planning.route_points(p, f, 3, CHUNK_TARGET, 9, cells))
 
@@ -359,7 +365,7 @@ def header_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def gps_sorted(spark: SparkSession, d: str) -> DataFrame:
     p = event_points(spark, d)
-    placed = leaves.assign_leaves(p, fr.frame_of(p), LOD_LEAF, LEAF_CAP)
+    placed = leaves.assign_leaves(p, _frame(p), LOD_LEAF, LEAF_CAP)
     node = Window.partitionBy("level", "kx", "ky", "kz").orderBy("gps_time", "point_id")
     return index.gps_order(placed).select("point_id", "gps_time", F.row_number().over(node).alias("place"))
 
